@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_orc
+from . import decontaminate, packing, suffixes, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.query,
+    "op7_repeated_passages": suffixes.query,
     "op8_token_orc": token_orc.query,
     "op9_decontamination": decontaminate.query,
 }
