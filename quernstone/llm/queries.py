@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, suffixes, token_orc
+from . import decontaminate, minhash, packing, suffixes, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
+    "op4_toxicity": toxicity.query,
     "op5_minhash": minhash.query,
     "op7_repeated_passages": suffixes.query,
     "op8_token_orc": token_orc.query,
