@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, suffixes, token_orc, toxicity
+from . import decontaminate, minhash, packing, quality, suffixes, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_minhash": minhash.query,
+    "op6_quality_classifier": quality.query,
     "op7_repeated_passages": suffixes.query,
     "op8_token_orc": token_orc.query,
     "op9_decontamination": decontaminate.query,
