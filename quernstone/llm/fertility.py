@@ -2,12 +2,12 @@
 
 Public vocabularies measure each document: characters per token (of the byte-level vocabulary and of the piece-based
 one), the share of byte-fallback tokens (of the piece-based one), and the entropy of the tokens as a share of the
-greatest possible, log2 of their number. Bands are made for each language from all its documents: the median, less or
-plus ``width`` times the distance to the quartile on that side (at least ``floor``). A document of at least
-``min_tokens`` tokens outside of a band is rejected; reasons names the bands. A language of fewer than ``min_group``
-such documents, or none, takes the bands of all documents.
+greatest possible, log2 of their number. Bands are made for each language and octave of length (floor of log2 of the
+tokens, as spread and entropy depend on length), from all its documents: the median, less or plus ``width`` times the
+distance to the quartile on that side (at least ``floor``). A document of at least ``min_tokens`` tokens outside of a
+band is rejected; reasons names the bands. A group of fewer than ``min_group`` documents has no bands and rejects none.
 
-One pass over the texts; what is shuffled is a row of quantile sketches a language. Defined cases: a null or empty text
+One pass over the texts; what is shuffled is quantile sketches, a row for each group. Defined cases: a null or empty text
 has no tokens, null measures, and is kept; a null language is a group of its own; a null doc_id is kept; repeated rows
 are each measured; other columns are ignored; an empty table gives an empty table.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common, tokens
 
 BYTES, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
-MIN_TOKENS, MIN_GROUP, WIDTH = 32, 50, 8.0
+MIN_TOKENS, MIN_GROUP, WIDTH = 32, 30, 6.0
 #: Measure: (side of the band: low, high or both; least distance to a quartile).
 BANDS = {"chars_per_token": ("both", 0.1), "piece_chars_per_token": ("both", 0.1), "byte_share": ("high", 0.01), "entropy": ("low", 0.02)}
 MEASURES = "doc_id long, lang string, n_tokens long, chars_per_token double, piece_chars_per_token double, byte_share double, entropy double"
@@ -75,25 +75,23 @@ def _edges(width: float) -> list[Column]:
     return out
 
 
-def bands(measured: DataFrame, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP, width: float = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(the bands of each language that has enough documents, the bands of all documents: one row)."""
+def bands(measured: DataFrame, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP, width: float = WIDTH) -> DataFrame:
+    """The bands of each (language, octave) that has enough documents."""
     long = measured.where(F.col("n_tokens") >= min_tokens)
-    own = long.groupBy("lang").agg(F.count("*").alias("n_documents"), *_edges(width)).where(F.col("n_documents") >= min_group)
-    return own, long.agg(*_edges(width))
+    return long.groupBy("lang", _octave().alias("octave")).agg(F.count("*").alias("n_documents"), *_edges(width)).where(F.col("n_documents") >= min_group)
+
+
+def _octave() -> Column:
+    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
 
 
 def judge(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP, width: float = WIDTH, folder: str = tokens.TOKENIZERS) -> DataFrame:
     """Measures, decision and reasons of every document."""
     measured = common.checkpoint(measure(docs, folder))
-    own, whole = bands(measured, min_tokens, min_group, width)
     edges = [f"{m}_{side}" for m in BANDS for side in ("low", "high")]
-    all_edges = whole.first()  # one row
-    own = own.select(F.col("lang").alias("_lang"), *edges)
-    joined = measured.join(common.small(common.checkpoint(own), 256), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    outside = []
-    for m in BANDS:
-        low, high = (F.coalesce(F.col(f"{m}_{s}"), F.lit(all_edges[f"{m}_{s}"]).cast("double")) for s in ("low", "high"))
-        outside.append(F.when((F.col(m) < low) | (F.col(m) > high), F.lit(m)))
+    own = common.checkpoint(bands(measured, min_tokens, min_group, width).select(F.col("lang").alias("_lang"), "octave", *edges))
+    joined = measured.join(common.small(own, 256), F.col("lang").eqNullSafe(F.col("_lang")) & (_octave() == F.col("octave")), "left")
+    outside = [F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in BANDS]
     reasons = F.when(F.col("n_tokens") >= min_tokens, F.array_compact(F.array(*outside))).otherwise(F.array().cast("array<string>"))
     return joined.withColumn("reasons", reasons).select("doc_id", "n_tokens", *BANDS, "reasons", (F.size("reasons") == 0).alias("keep"))
 
