@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 #: A side of a join is broadcast only when its rows, counted first, need no more than this.
 BROADCAST_BYTES = 64 << 20
@@ -59,3 +61,42 @@ def text_of(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keys() -> tuple[Column, Column]:
+    """128 bits that stand for (doc_id, text), nulls included."""
+    parts = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))
+    return F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *reversed(parts)).alias("k2")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(d, k1, k2): each row as a struct, and its keys; no name of the row's columns can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    cast = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cast.select("d", *keys())
+
+
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """One row of those with the same (k1, k2)."""
+    n = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Rows that come in order of an integer column, in tables of at least so many rows that divide no group of equals."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n < rows:
+            continue
+        key = held[-1].column(column).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (len(held) > 1 and held[-2].column(column)[-1].as_py() != key[-1]):
+            yield pa.Table.from_batches([*held[:-1], held[-1].slice(0, cut)]).combine_chunks()
+            held = [held[-1].slice(cut)]
+            n = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

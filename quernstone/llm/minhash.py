@@ -22,10 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, words
+from . import common, graph, words
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 2, 20, 4, 0.6
 BUCKET_BITS, DRAW_BITS, SALT = 18, 18, 4000
@@ -41,12 +40,6 @@ def draws() -> tuple[np.ndarray, ...]:
     return _draws[0]
 
 
-def keys() -> tuple[Column, Column]:
-    """128 bits that stand for (doc_id, text), nulls included."""
-    parts = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))
-    return F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *reversed(parts)).alias("k2")
-
-
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents that have a word of the bucket, for each bucket; number of documents). One row a slice is shuffled."""
     slices = 64
@@ -156,7 +149,7 @@ def signatures(docs: DataFrame, idf, shingle: int, bands: int, rows: int) -> Dat
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands, dtype=np.int32)), pa.array(flat.ravel()))
         return pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("doc_id", "k1", "k2")), pa.array(np.concatenate(content).view(np.int64)), lists], ["doc_id", "k1", "k2", "content", "buckets"])
 
-    return common.each_batch(common.text_of(docs).select("doc_id", "text", *keys()), batch, "doc_id long, k1 long, k2 long, content long, buckets array<long>")
+    return common.each_batch(common.text_of(docs).select("doc_id", "text", *common.keys()), batch, "doc_id long, k1 long, k2 long, content long, buckets array<long>")
 
 
 def _verify(docs: DataFrame, edges: DataFrame, idf, shingle: int, threshold: float) -> DataFrame:
@@ -165,7 +158,7 @@ def _verify(docs: DataFrame, edges: DataFrame, idf, shingle: int, threshold: flo
     salted = edges.join(size, ["b1", "b2"]).select("a1", "a2", "b1", "b2", F.pmod("a1", "salts").alias("salt"), "salts")
     leaders = size.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), "b1", "b2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("ord"))
     wanted = leaders.unionByName(salted.select("a1", "a2", "b1", "b2", "salt", F.lit(1).alias("ord")))
-    texts = common.text_of(docs).select("text", *keys())
+    texts = common.text_of(docs).select("text", *common.keys())
     sent = texts.join(common.small(wanted, 64), (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2"))).select("a1", "a2", "b1", "b2", "salt", "ord", "text")
     sent = sent.repartition("b1", "b2", "salt").sortWithinPartitions("b1", "b2", "salt", "ord")
 
@@ -197,24 +190,6 @@ def _verify(docs: DataFrame, edges: DataFrame, idf, shingle: int, threshold: flo
     return sent.mapInArrow(compare, "a1 long, a2 long, b1 long, b2 long, similarity double").dropDuplicates(["a1", "a2", "b1", "b2"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the least vertex, as a struct, of each vertex's component. edges: (a, b). By star contraction."""
-    e = common.checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        ms = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(ms, "a")
-        e = common.checkpoint(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(ms.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            return e.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("v"), "label")
-        last = now
-
-
 def groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, k1, k2, group_id, similarity, keep) of each document in a group of two or more.
 
@@ -225,19 +200,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
     sig = common.checkpoint(signatures(docs, idf, shingle, bands, rows))
     node = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), "k1", "k2").alias("v")
     members = sig.dropDuplicates(["k1", "k2"]).select(node, "content", F.explode("buckets").alias("bucket"))
-    w = Window.partitionBy("bucket")
-    shared = members.withColumn("size", F.count("*").over(w)).where("size > 1")
-    shared = common.checkpoint(shared.withColumn("lead", F.min(F.struct("v", "content")).over(w)))
-    pairs = shared.where("v <> lead.v").select("v", F.col("lead.v").alias("u"), (F.col("content") == F.col("lead.content")).alias("same")).distinct()
-    done = common.checkpoint(_edges(docs, pairs, idf, shingle, threshold))
-    linked = done.select("v").unionByName(done.select(F.col("u").alias("v"))).distinct()
-    alone = shared.where("v <> lead.v").join(linked, "v", "left_anti").select("v", "content", "bucket", "lead")
-    others = shared.select(F.col("v").alias("u"), F.col("content").alias("c"), "bucket")
-    more = alone.join(others, "bucket").where("v <> u and u <> lead.v").select("v", "u", (F.col("content") == F.col("c")).alias("same")).distinct()
-    more = more.join(pairs.select("v", "u"), ["v", "u"], "left_anti")
-    edges = done.unionByName(common.checkpoint(_edges(docs, more, idf, shingle, threshold)))
+    edges = graph.star_edges(members, lambda pairs: _edges(docs, pairs, idf, shingle, threshold))
     best = edges.select("v", "similarity").unionByName(edges.select(F.col("u").alias("v"), "similarity")).groupBy("v").agg(F.max("similarity").alias("similarity"))
-    label = components(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
+    label = graph.components(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     out = best.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
     doc = lambda c: F.when(~F.col(f"{c}.n"), F.col(f"{c}.d"))
     return out.select(doc("v").alias("doc_id"), "v.k1", "v.k2", doc("label").alias("group_id"), "similarity", (F.col("v") == F.col("label")).alias("keep"))
@@ -245,7 +210,6 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
 
 def _edges(docs: DataFrame, pairs: DataFrame, idf, shingle: int, threshold: float) -> DataFrame:
     """(v, u, similarity) of the pairs that are near enough; pairs of the same words need no text."""
-    pairs = common.checkpoint(pairs)
     rest = pairs.where("not same")
     found = _verify(docs, rest.select(F.col("v.k1").alias("a1"), F.col("v.k2").alias("a2"), F.col("u.k1").alias("b1"), F.col("u.k2").alias("b2")), idf, shingle, threshold)
     keyed = rest.select("v", "u", F.col("v.k1").alias("a1"), F.col("v.k2").alias("a2"), F.col("u.k1").alias("b1"), F.col("u.k2").alias("b2"))
@@ -256,10 +220,8 @@ def _edges(docs: DataFrame, pairs: DataFrame, idf, shingle: int, threshold: floa
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The documents, with all their columns, without those of which another of the group stays."""
     drop = groups(docs, **parameters).where("not keep").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = keyed.select("d", "doc_id", "text", *keys()).drop("text", "doc_id").join(drop, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti")
-    n = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
-    return keyed.withColumn("n", n).where("n = 1").select("d.*")
+    keyed = common.keyed(docs).join(drop, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti")
+    return common.one_of_equal(keyed).select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,10 @@ def nnls(a: np.ndarray, h: np.ndarray) -> np.ndarray:
         passive[j] = True
         while True:
             p = np.flatnonzero(passive)
-            s = np.linalg.lstsq(a[:, p], h, rcond=None)[0]
+            try:
+                s = np.linalg.solve(a[:, p].T @ a[:, p], a[:, p].T @ h)
+            except np.linalg.LinAlgError:
+                s = np.linalg.lstsq(a[:, p], h, rcond=None)[0]
             if len(p) == 0 or s.min() > 1e-12:
                 x[:] = 0
                 x[p] = s

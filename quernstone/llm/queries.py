@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, minhash, packing, quality, suffixes, token_orc, toxicity, warc
+from . import decontaminate, fertility, lines, minhash, packing, quality, suffixes, token_orc, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op2_warc_archive": warc.query,
+    "op3_line_dedup": lines.query,
     "op4_toxicity": toxicity.query,
     "op5_minhash": minhash.query,
     "op6_quality_classifier": quality.query,

@@ -117,54 +117,26 @@ def _repeats(keys: np.ndarray, rows: np.ndarray, ats: np.ndarray, n: np.ndarray,
     return src[alive[k]], at[k], np.diff(np.append(k, len(alive))), np.maximum.reduceat(copies, k), np.logical_or.reduceat(first, k)
 
 
-_CHUNK = 1 << 20
-
-
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets come whole and in order of key; a few buckets are worked on at a time."""
-
-    def work(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts).combine_chunks()
+    for t in common.whole_groups(batches, "key", 1 << 14):
         keys = t["key"].to_numpy()
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        shared = np.bincount(_segments(new))[_segments(new)] > 1
+        keep = np.flatnonzero(np.bincount(_segments(new))[_segments(new)] > 1)  # the windows of one row all differ: their least runs stand at different places in them
+        if not len(keep):
+            continue
+        t = t.take(pa.array(keep)).combine_chunks()
         blob = t["windows"].combine_chunks()
-        if isinstance(blob, pa.ChunkedArray):
-            blob = blob.chunk(0)
+        blob = blob.chunk(0) if isinstance(blob, pa.ChunkedArray) else blob
         offs = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1] // 8
-        keep = np.flatnonzero(shared)  # the windows of one row all differ: their least runs stand at different places in them
-        if not len(keep):
-            return None
-        n = np.diff(offs)[keep]
-        full = np.frombuffer(blob.buffers()[2], np.uint64)
-        ends = np.cumsum(n)
-        full = full[np.repeat(offs[keep] - (ends - n), n) + np.arange(ends[-1])]
-        ids, rows, ats = t["doc_id"].combine_chunks(), t["row"].to_numpy()[keep], t["at"].to_numpy()[keep]
-        found = _repeats(keys[keep], rows, ats, n, full)
+        full = np.frombuffer(blob.buffers()[2], np.uint64)[offs[0] : offs[-1]]
+        found = _repeats(t["key"].to_numpy(), t["row"].to_numpy(), t["at"].to_numpy(), np.diff(offs), full)
         if found is None:
-            return None
-        i, at, count, copies, first = found
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(keep[i])), pa.array(rows[i]), pa.array(at), pa.array(at + count), pa.array(copies), pa.array(first)], ["doc_id", "row", "lo", "hi", "copies", "first"])
-
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.nbytes // 8
-        if size < _CHUNK:
             continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        keys = t["key"].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            if (out := work(t.slice(0, cut).to_batches())) is not None:
-                yield out
-            t = t.slice(cut)
-        held, size = t.to_batches(), t.nbytes // 8 if not cut else 0
-    if held and (out := work(held)) is not None:
-        yield out
+        i, at, count, copies, first = found
+        ids = t["doc_id"].combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(t["row"].to_numpy()[i]), pa.array(at), pa.array(at + count), pa.array(copies), pa.array(first)], ["doc_id", "row", "lo", "hi", "copies", "first"])
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
