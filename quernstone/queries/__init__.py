@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import code
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**code.QUERIES}
+ORACLE_SQL: dict[str, str] = {**code.ORACLE_SQL}
 ENTRY = "content_search_ranked"
