@@ -48,7 +48,7 @@ def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:
     """Every multiset of at most depth bin numbers from 1 to bins whose sum is bins."""
     out: list[tuple[int, ...]] = [(bins,)]
     for d in range(2, depth + 1):
-        out += [c + (bins - sum(c),) for c in combinations_with_replacement(range(1, bins // d + 1), d - 1) if bins - sum(c) >= c[-1]]
+        out += [c + (bins - sum(c),) for c in combinations_with_replacement(range(1, bins // 2 + 1), d - 1) if bins - sum(c) >= c[-1]]
     return out
 
 
