@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _LIMIT = 0x30000
-_SLICE = 1 << 20
+_SLICE = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = {" ", "\t", "\n", "\r", "\x0b", "\x0c"}
 _tables: dict[str, np.ndarray] = {}
@@ -68,7 +68,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def layouts(col: pa.Array | pa.ChunkedArray, max_chars: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def layouts(col: pa.Array | pa.ChunkedArray, max_chars: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, row after the last, code points, character offsets) for runs of rows of about max_chars."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
