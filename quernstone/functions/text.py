@@ -118,18 +118,24 @@ def semantic_tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, of))
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of a text of at most so many bytes, cut at a character."""
+    raw = F.encode(text, "UTF-8")
+    h = F.hex(F.substring(raw, 1, most + 1))
+    inside = lambda n: F.substring(h, 2 * n + 1, 1).isin("8", "9", "A", "B")  # noqa: E731  byte n + 1 goes on with a character
+    n = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), n).cast("string"))
+
+
 def display(line: Column, most: int = 320) -> Column:
     """The line without blanks at its end; past so many bytes it is cut at a character and gets an ellipsis."""
-    r = F.rtrim(F.regexp_replace(line, r"[\s]+$", ""))
-    fits = F.array_max(F.filter(F.sequence(F.lit(most // 4), F.least(F.length(r), F.lit(most))), lambda n: F.octet_length(F.substring(r, F.lit(1), n)) <= most))
-    return F.when(F.octet_length(r) <= most, r).otherwise(F.concat(F.substring(r, F.lit(1), fits), F.lit("…")))
+    r = F.regexp_replace(line, r"\s+\z", "")
+    return F.when(F.octet_length(r) <= most, r).otherwise(F.concat(cut_bytes(r, most), F.lit("…")))
 
 
 def signature(line: Column) -> Column:
     """First line of a definition: trimmed, without a final brace, 200 bytes at most."""
-    t = F.rtrim(F.regexp_replace(F.trim(line), r"\{$", ""))
-    fits = F.array_max(F.filter(F.sequence(F.lit(50), F.least(F.length(t), F.lit(200))), lambda n: F.octet_length(F.substring(t, F.lit(1), n)) <= 200))
-    return F.when(F.octet_length(t) <= 200, t).otherwise(F.substring(t, F.lit(1), fits))
+    return cut_bytes(F.rtrim(F.regexp_replace(F.trim(line), r"\{$", "")), 200)
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

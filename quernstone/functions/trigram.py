@@ -22,10 +22,12 @@ def of(data: bytes) -> list[str]:
 
 def extract(text: Column) -> Column:
     """Distinct trigrams of a text's bytes, in order."""
-    h = F.lower(F.hex(F.encode(text, "UTF-8")))
-    n = F.octet_length(text)
-    some = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.substring(h, i * 2 + 1, F.lit(6)))
-    return F.when(n >= 3, F.array_sort(F.array_distinct(some))).otherwise(F.array().cast("array<string>"))
+    raw, n = F.encode(text, "UTF-8"), F.octet_length(text)
+    steps = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
+    # the bytes are bound to a variable; else they would be encoded again at every step
+    some = F.flatten(F.transform(F.array(raw), lambda r: F.transform(steps, lambda i: F.lower(F.hex(F.substring(r, i, F.lit(3)))))))
+    some = F.array_distinct(some)
+    return F.when(n >= 3, F.array_sort(some)).otherwise(F.array().cast("array<string>"))
 
 
 def literal_plan(needle: str) -> Plan:

@@ -59,35 +59,44 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(clean, pattern, f"{_BEGIN}$0{_END}"), _BEGIN, -1)
 
 
-def _located(text: Column, pattern: str, whole_word: bool) -> Column:
-    """array<struct<line, column>> of the matches that count, by one fold over the pieces."""
+def _located(text: Column, pattern: str, whole_word: bool, cap: int | None = None) -> Column:
+    """struct<n, hits: array<struct<line, column>>>: number of matches that count, and the first of each line, by one fold.
+
+    cap: only so many first matches are looked at.
+    """
     pieces = _matches(text, pattern)
-    first = pieces[0]
-    start = F.struct(
-        (F.length(first) - F.length(F.replace(first, F.lit("\n"), F.lit("")))).alias("line"),
-        F.octet_length(F.element_at(F.split(first, "\n"), -1)).alias("bytes"),
-        F.substring(first, -1, 1).alias("before"),
-        F.array().cast("array<struct<line:int,column:int>>").alias("hits"),
+
+    def breaks_in(c: Column) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+    zero = F.struct(
+        F.lit(-1).alias("n"), F.lit(0).alias("line"), F.lit(0).alias("bytes"), F.lit("").alias("before"), F.lit(0).alias("last"), F.array().cast("array<struct<line:int,column:int>>").alias("hits")
     )
 
     def step(acc: Column, piece: Column) -> Column:
-        match, after = F.substring_index(piece, _END, 1), F.substring(piece, F.length(F.substring_index(piece, _END, 1)) + 2, F.lit(1 << 30))
-        whole = F.concat(match, after)
-        ok = F.length(match) > 0
+        first = acc["n"] < 0
+        match = F.when(first, F.lit("")).otherwise(F.substring_index(piece, _END, 1))
+        whole = F.when(first, piece).otherwise(F.replace(piece, F.lit(_END), F.lit("")))
+        ok = ~first & (F.length(match) > 0)
         if whole_word:
-            nxt = F.substring(after, 1, 1)
+            nxt = F.substring(piece, F.length(match) + 2, F.lit(1))
             ok = ok & ~acc["before"].rlike(_WORD) & ~nxt.rlike(_WORD)
-        breaks = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))
-        tail = F.octet_length(F.element_at(F.split(whole, "\n"), -1))
-        hit = F.array(F.struct((acc["line"] + 1).cast("int").alias("line"), (acc["bytes"] + 1).cast("int").alias("column")))
+        if cap is not None:
+            ok = ok & (acc["n"] < cap)
+        line = (acc["line"] + 1).cast("int")
+        new = F.array(F.struct(line.alias("line"), (acc["bytes"] + 1).cast("int").alias("column")))
+        breaks = breaks_in(whole)
+        tail = F.octet_length(F.substring_index(whole, "\n", -1))
         return F.struct(
+            F.when(first, 0).otherwise(acc["n"] + F.when(ok, 1).otherwise(0)).alias("n"),
             (acc["line"] + breaks).alias("line"),
             F.when(breaks > 0, tail).otherwise(acc["bytes"] + tail).alias("bytes"),
             F.when(F.length(whole) > 0, F.substring(whole, -1, 1)).otherwise(acc["before"]).alias("before"),
-            F.when(ok, F.concat(acc["hits"], hit)).otherwise(acc["hits"]).alias("hits"),
+            F.when(ok, line).otherwise(acc["last"]).alias("last"),
+            F.when(ok & (acc["last"] != line), F.concat(acc["hits"], new)).otherwise(acc["hits"]).alias("hits"),
         )
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step)["hits"]
+    return F.aggregate(pieces, zero, step, lambda a: F.struct(a["n"].alias("n"), a["hits"].alias("hits")))
 
 
 def hit_lines(docs: DataFrame, q: Query) -> DataFrame:
@@ -104,17 +113,14 @@ def hit_lines(docs: DataFrame, q: Query) -> DataFrame:
             at = F.octet_length(F.substring_index("raw", q.pattern, 1)) + 1
             found = lines.select("doc_id", "path", "lang", (F.col("pos") + 1).alias("line"), at.cast("int").alias("column"), "raw", T.count_of(F.col("raw"), q.pattern).cast("int").alias("n"))
         else:
-            hits = lines.withColumn("hits", _located(F.col("raw"), pattern, q.whole_word)).where(F.size("hits") > 0)
-            found = hits.select("doc_id", "path", "lang", (F.col("pos") + 1).alias("line"), F.col("hits")[0]["column"].alias("column"), "raw", F.size("hits").alias("n"))
+            hits = lines.withColumn("m", _located(F.col("raw"), pattern, q.whole_word)).where(F.size("m.hits") > 0)
+            found = hits.select("doc_id", "path", "lang", (F.col("pos") + 1).alias("line"), F.col("m.hits")[0]["column"].alias("column"), "raw", F.col("m.n").alias("n"))
         if not q.exhaustive:
             before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("line")) - F.col("n")
             found = found.withColumn("before", before).where(F.col("before") < MATCH_CAP).drop("before")
         return found.drop("n")
-    hits = docs.withColumn("hits", _located(F.col("text"), pattern, q.whole_word))
-    if not q.exhaustive:
-        hits = hits.withColumn("hits", F.slice("hits", 1, MATCH_CAP))
-    firsts = F.filter(F.col("hits"), lambda h, i: (i == 0) | (h["line"] != F.get(F.col("hits"), F.greatest(i - 1, F.lit(0)))["line"]))
-    rows = hits.select("doc_id", "path", "lang", F.split("text", "\n").alias("all"), F.explode(firsts).alias("h"))
+    hits = _located(F.col("text"), pattern, q.whole_word, None if q.exhaustive else MATCH_CAP)["hits"]
+    rows = docs.select("doc_id", "path", "lang", F.split("text", "\n").alias("all"), F.explode(hits).alias("h"))
     return rows.select("doc_id", "path", "lang", F.col("h.line").alias("line"), F.col("h.column").alias("column"), F.col("all")[F.col("h.line") - 1].alias("raw"))
 
 

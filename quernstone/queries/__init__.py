@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code
+from . import code, more
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**code.QUERIES}
-ORACLE_SQL: dict[str, str] = {**code.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**code.QUERIES, **more.QUERIES}
+ORACLE_SQL: dict[str, str] = {**code.ORACLE_SQL, **more.ORACLE_SQL}
 ENTRY = "content_search_ranked"

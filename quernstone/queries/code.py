@@ -138,10 +138,10 @@ def _fuzzy_part(s, p):
     from ..functions import text as T
 
     d = s.read.parquet(f"{p}/part.parquet")
-    return d.select("p_partkey", "p_name", T.fuzzy_score(F.col("p_name"), "pa1").alias("score")).where("score is not null")
+    return d.select("p_partkey", "p_name", T.fuzzy_score(F.col("p_name"), "cw").alias("score")).where("score is not null")
 
 
-ORACLE_SQL["fuzzy_on_part_names"] = "WITH t AS (SELECT p_partkey, p_name, lower(p_name) AS n FROM part), x AS (SELECT *, array_to_string(list_transform(list_filter(string_split_regex(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\- ]+'), lambda x: x <> ''), lambda x: x[1]), '') AS acr FROM t) SELECT p_partkey, p_name, CAST(CASE WHEN n = 'pa1' THEN 100 WHEN starts_with(n, 'pa1') THEN 70 WHEN acr = 'pa1' THEN 60 WHEN contains(n, 'pa1') THEN 50 WHEN regexp_matches(n, '(?s)p.*a.*1') THEN 30 END AS DOUBLE) AS score FROM x WHERE score IS NOT NULL"
+ORACLE_SQL["fuzzy_on_part_names"] = "WITH t AS (SELECT p_partkey, p_name, lower(p_name) AS n FROM part), x AS (SELECT *, array_to_string(list_transform(list_filter(string_split_regex(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\- ]+'), lambda x: x <> ''), lambda x: x[1]), '') AS acr FROM t) SELECT p_partkey, p_name, CAST(CASE WHEN n = 'cw' THEN 100 WHEN starts_with(n, 'cw') THEN 70 WHEN acr = 'cw' THEN 60 WHEN contains(n, 'cw') THEN 50 WHEN regexp_matches(n, '(?s)c.*w') THEN 30 END AS DOUBLE) AS score FROM x WHERE score IS NOT NULL"
 
 
 def _first_path(d):
