@@ -195,12 +195,12 @@ def _goto(name, **kw):
 
 add(
     "goto_definition_ranked",
-    f""", here AS (SELECT path AS hp FROM docs WHERE doc_id = 7), c AS (SELECT s.*, path, lang, hp, coalesce(list_min(list_filter(generate_series(1, 9), lambda k: string_split(path, '/')[k] IS DISTINCT FROM string_split(hp, '/')[k])) - 1, 9) AS sp FROM symbols s JOIN docs USING (doc_id), here WHERE s.name = 'the'),
+    f""", here AS (SELECT path AS hp FROM docs WHERE doc_id = 7), c AS (SELECT s.*, path, lang, hp, coalesce(list_min(list_filter(generate_series(1, 9), lambda k: string_split(path, '/')[k] IS DISTINCT FROM string_split(hp, '/')[k])) - 1, len(string_split(path, '/'))) AS sp FROM symbols s JOIN docs USING (doc_id), here WHERE s.name = 'the'),
  x AS (SELECT *, round(10.0 + {PATH_SCORE} + CASE WHEN path = hp THEN 40 ELSE 0 END + 2.0 * sp + CASE WHEN kind IN ('method', 'field', 'property') THEN 0 ELSE 8 END + CASE WHEN kind IN ('function', 'method', 'macro', 'constructor') THEN 6 ELSE 0 END, 4) AS score FROM c),
  y AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM x WINDOW w AS (ORDER BY score DESC, path, line_start, sym_idx))
  SELECT path, lang, name, kind, line_start, line_end, container, signature, CAST(score AS DOUBLE) AS score, rn = 1 AND (nxt IS NULL OR score - nxt >= 12) AS resolved FROM y""",
 )(_goto("the", is_call=True))
 add(
     "goto_definition_fallback",
-    _ranked(_ww.replace(")the(", ")tion(")).replace('SELECT path, lang, line, col AS "column", ', "SELECT path, lang, 'tion' AS name, 'text' AS kind, line AS line_start, line AS line_end, CAST(NULL AS VARCHAR) AS container, ").replace(" AS text, CAST(score AS DOUBLE) AS score FROM page", " AS signature, CAST(score AS DOUBLE) AS score, false AS resolved FROM page"),
-)(_goto("tion"))
+    _ranked(_ww.replace(")the(", ")under(").replace("])the(?:", "])under(?:")).replace('SELECT path, lang, line, col AS "column", ', "SELECT path, lang, 'under' AS name, 'text' AS kind, line AS line_start, line AS line_end, CAST(NULL AS VARCHAR) AS container, ").replace(" AS text, CAST(score AS DOUBLE) AS score FROM page", " AS signature, CAST(score AS DOUBLE) AS score, false AS resolved FROM page"),
+)(_goto("under"))
