@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, words
@@ -238,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
         return Index(np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 0)), base, 0.0, _logit(base))
     ids = rows["doc_id"].to_numpy()
     y = np.array([chosen[i] for i in ids.tolist()], float)
-    counts = np.array([len(x) for x in rows["terms"].to_pylist()])
+    counts = pc.list_value_length(rows["terms"]).to_numpy().astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     terms, tf = rows["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), rows["tf"].combine_chunks().flatten().to_numpy()
     keep = _distinct(bounds, terms)
