@@ -113,20 +113,21 @@ def fit(bounds: np.ndarray, ind: np.ndarray, good: np.ndarray, cost: float = COS
     """The model of rows ind[bounds[i]:bounds[i + 1]]; every fifth row is held out for the logistic curve."""
     n, dim = len(good), 1 << BITS
     train = np.arange(n) % 5 != 4
-    owner = np.repeat(np.arange(n), np.diff(bounds))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     used = train[owner]
     p = np.bincount(ind[used & good[owner]], minlength=dim) + 1.0
     q = np.bincount(ind[used & ~good[owner]], minlength=dim) + 1.0
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    x = ratio[ind]
-    norm = np.sqrt(np.maximum(np.bincount(owner, x * x, n), 1e-12))
-    x = x / norm[owner]
+    x = ratio.astype(np.float32)[ind]
+    norm = np.sqrt(np.maximum(np.bincount(owner, x * x, n), 1e-12)).astype(np.float32)
+    x /= norm[owner]
     counts = np.diff(bounds)[train]
     y = np.where(good, 1.0, -1.0)
     w = dual_descent(np.concatenate([[0], np.cumsum(counts)]), ind[used], x[used], y[train], dim, cost, epochs)
     model = Model(w[:dim] * ratio, ratio**2, float(w[dim]))
     held = ~train if good[~train].any() and not good[~train].all() else train
-    m, t = model.margins(owner, ind, n)[held], good[held].astype(float)
+    some = held[owner]
+    m, t = model.margins(owner[some], ind[some], n)[held], good[held].astype(float)
     n1, n0 = t.sum(), (1 - t).sum()
     t = np.where(t > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     z, beta = np.stack([m, np.ones_like(m)], 1), np.array([2.0, 0.0])
