@@ -95,6 +95,9 @@ def walk(spark: SparkSession, root: str, config: Config = Config()) -> tuple[Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^file:/*", "/")
     files = files.select(F.substring(rel, len(root.rstrip("/")) + 2, 1 << 20).alias("rel"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    empty = [(os.path.relpath(os.path.join(d, f), root), 0, os.stat(os.path.join(d, f)).st_mtime_ns) for d, _, fs in os.walk(root) for f in fs if os.path.getsize(os.path.join(d, f)) == 0]
+    if empty:  # the file source leaves files of no bytes out
+        files = files.where("size > 0").unionByName(spark.createDataFrame(empty, "rel string, size long, mtime_ns long"))
     ignored = F.lit(False)
     for pattern, yes in ignore_rules(root):
         ignored = F.when(F.col("rel").rlike(pattern), F.lit(yes)).otherwise(ignored)
