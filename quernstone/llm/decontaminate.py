@@ -125,3 +125,21 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, ngram: int = NGRAM, min
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws, string_split_regex(text, '[\p{L}\p{N}]+') AS sp FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+i AS (SELECT item_id, ws, least(8, len(ws)) AS n FROM b WHERE len(ws) >= 5),
+ig AS (SELECT DISTINCT item_id, n, unnest(list_transform(generate_series(1, len(ws) - n + 1), lambda k: array_to_string(ws[k:k + n - 1], ' '))) AS g FROM i),
+dl AS (SELECT doc_id, n, list_transform(generate_series(1, len(ws) - n + 1), lambda k: array_to_string(ws[k:k + n - 1], ' ')) AS gs FROM d, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n),
+dg AS (SELECT doc_id, n, generate_subscripts(gs, 1) AS p, unnest(gs) AS g FROM dl),
+hit AS (SELECT doc_id, item_id, p - 1 AS a, p - 1 + n AS z FROM dg JOIN ig USING (n, g)),
+br AS (SELECT *, CASE WHEN a <= lag(z) OVER (PARTITION BY doc_id, item_id ORDER BY a) THEN 0 ELSE 1 END AS b FROM hit),
+gr AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, item_id ORDER BY a) AS g FROM br),
+s AS (SELECT doc_id, item_id, min(a) AS a, max(z) AS z FROM gr GROUP BY doc_id, item_id, g)
+SELECT doc_id, item_id,
+  CAST(list_sum(list_transform(sp[1:a + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:a], lambda x: length(x))), 0) AS BIGINT) AS "start",
+  CAST(list_sum(list_transform(sp[1:z], lambda x: length(x))) + list_sum(list_transform(ws[1:z], lambda x: length(x))) AS BIGINT) AS "end", CAST(z - a AS BIGINT) AS n_words
+FROM s JOIN d USING (doc_id)
+"""

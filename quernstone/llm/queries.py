@@ -23,4 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archive": warc.ORACLE,
+    "op7_repeated_passages": suffixes.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
 }

@@ -156,3 +156,13 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFram
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages of at least 50 words that occur more than once in the documents."""
     return repeats(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+l AS (SELECT doc_id, list_transform(generate_series(1, len(ws) - 49), lambda k: md5(array_to_string(ws[k:k + 49], ' '))) AS hs FROM w WHERE len(ws) >= 50),
+p AS (SELECT doc_id, generate_subscripts(hs, 1) - 1 AS p, unnest(hs) AS h FROM l),
+g AS (SELECT *, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM p),
+k AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g WHERE n > 1)
+SELECT doc_id, CAST(min(p) AS BIGINT) AS "start", CAST(max(p) + 50 AS BIGINT) AS "end", CAST(max(n) AS BIGINT) AS copies, bool_or(r = 1) AS "first" FROM k GROUP BY doc_id, island
+"""
