@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -17,9 +16,9 @@ def star_edges(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     that nothing verified are then compared with all the others of their buckets. verify gets (v, u, same): same tells
     that the contents are equal.
     """
-    w = Window.partitionBy("bucket")
-    shared = members.withColumn("size", F.count("*").over(w)).where("size > 1")
-    shared = common.checkpoint(shared.withColumn("lead", F.min(F.struct("v", "content")).over(w)))
+    # an aggregate and a join, not a window: partial aggregates shrink a hot bucket, and a skewed join can be split
+    leads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("v", "content")).alias("lead")).where("size > 1")
+    shared = common.checkpoint(members.join(leads.drop("size"), "bucket"))
     pairs = shared.where("v <> lead.v").select("v", F.col("lead.v").alias("u"), (F.col("content") == F.col("lead.content")).alias("same")).distinct()
     done = common.checkpoint(verify(common.checkpoint(pairs)))
     linked = done.select("v").unionByName(done.select(F.col("u").alias("v"))).distinct()

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from . import common, graph, words
 
@@ -250,14 +249,15 @@ def repeated(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHA
     """(doc_id, k1, k2, line, first_doc_id, first_line) of each line that an earlier one stands for; lines count from 0."""
     if not 0 <= distance < fuzzy_chars or distance > 31:
         raise ValueError("distance must be less than fuzzy_chars, and at most 31")
-    members = _members(docs, distance, fuzzy_chars).withColumn("content", F.col("v"))
+    members = common.checkpoint(_members(docs, distance, fuzzy_chars)).withColumn("content", F.col("v"))
     edges = graph.star_edges(members, lambda pairs: _verify(docs, pairs, distance, fuzzy_chars))
     label = graph.components(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     found = _occurrences(docs, min_chars)
     found = found.join(common.small(common.checkpoint(label), 16).withColumnRenamed("v", "h"), "h", "left").withColumn("g", F.coalesce("label", "h"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2", "line")
-    w = Window.partitionBy("g")
-    found = found.withColumn("place", place).withColumn("first", F.min("place").over(w)).where("place <> first")
+    found = common.checkpoint(found.withColumn("place", place))
+    firsts = found.groupBy("g").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select(F.col("g").alias("_g"), "first")
+    found = found.join(firsts, F.col("g") == F.col("_g")).where("place <> first")
     return found.select("doc_id", "k1", "k2", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
 
 
