@@ -21,6 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WHOLE = rf"  |{_SPACE} {_SPACE}|\x{{2581}}|^ | $"
 _CALL = 1 << 17
+_BYTES = 8 << 20
 
 
 class Vocabulary:
@@ -72,6 +73,15 @@ class Vocabulary:
             col = col.combine_chunks()
         col = pc.fill_null(col, "")
         n = len(col)
+        ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64))
+        if n > 1 and ends[-1] > _BYTES:  # a few at a time, for the worker's memory
+            parts, lo = [], 0
+            while lo < n:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _BYTES, "right")))
+                parts.append(self.encode(col.slice(lo, hi - lo)))
+                lo = hi
+            lengths = np.concatenate([np.diff(o) for _, o in parts])
+            return np.concatenate([i for i, _ in parts]), np.concatenate([[0], np.cumsum(lengths)])
         whole = pc.match_substring_regex(col, _WHOLE).to_numpy(zero_copy_only=False)
         empty = pc.equal(col, "").to_numpy(zero_copy_only=False)
         rest = np.flatnonzero(~whole & ~empty)
