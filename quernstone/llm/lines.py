@@ -7,8 +7,9 @@ remaining edits on either side. Lines that meet under a segment are verified by
 Lines of at least ``min_chars`` characters are joined to their exact equals. Of each connected group of lines the first
 occurrence, by (doc_id, line number), stays.
 
-At scale: only (hash, hash) rows meet in the segment shuffle; a bucket gives one pair a member (its leader), and pairs
-of all only for members that nothing verified; the texts of candidate lines alone travel to be verified.
+At scale: only (hash, hash) rows meet in the segment shuffle; a bucket gives one pair a member (its leader), and then
+the pairs whose lines aren't connected already (see graph.star_edges: none is missed, so many unrelated lines that share
+a segment take comparisons by the square of their number); the texts of candidate lines alone travel to be verified.
 
 Defined cases: blank lines and lines under ``min_chars`` are left alone; null and empty texts have no lines; a null
 doc_id orders after all others; rows equal in doc_id and text are one document; ties are broken by a hash of the text.
@@ -249,7 +250,7 @@ def repeated(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHA
     """(doc_id, k1, k2, line, first_doc_id, first_line) of each line that an earlier one stands for; lines count from 0."""
     if not 0 <= distance < fuzzy_chars or distance > 31:
         raise ValueError("distance must be less than fuzzy_chars, and at most 31")
-    members = common.checkpoint(_members(docs, distance, fuzzy_chars)).withColumn("content", F.col("v"))
+    members = common.checkpoint(_members(docs, distance, fuzzy_chars))
     edges = graph.star_edges(members, lambda pairs: _verify(docs, pairs, distance, fuzzy_chars))
     label = graph.components(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     found = _occurrences(docs, min_chars)

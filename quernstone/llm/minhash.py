@@ -7,8 +7,8 @@
 * A document's sketch is ``bands * rows`` consistent weighted samples: the shingle of least ln c - r (t - beta + 1), with
   t = floor(ln w / r + beta). The draws (r, c, beta) come from a table of 2^18 draws, indexed by a hash of the shingle.
 * Documents that agree in all rows of a band share a bucket. Each is compared with the bucket's leader, its least
-  (doc_id, text hash): one edge a member, however large the bucket. A document that no leader verified is then compared
-  with all the others of its buckets, so a bucket with a bad leader loses nothing.
+  (doc_id, text hash): one edge a member, however large the bucket. Then the pairs of a bucket that aren't connected yet
+  are compared (see graph.star_edges), so that a bucket loses nothing. Of documents of the same words one goes there.
 * A pair is verified by the weighted Jaccard similarity of the whole texts: sum of least weights over sum of greatest.
   Texts of the same words are equal without that. Verified edges make groups (connected components).
 
@@ -199,8 +199,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
     idf = sc.broadcast(idf_of(*document_frequencies(common.text_of(docs))))
     sig = common.checkpoint(signatures(docs, idf, shingle, bands, rows))
     node = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), "k1", "k2").alias("v")
-    members = sig.dropDuplicates(["k1", "k2"]).select(node, "content", F.explode("buckets").alias("bucket"))
-    edges = graph.star_edges(members, lambda pairs: _edges(docs, pairs, idf, shingle, threshold))
+    nodes = sig.dropDuplicates(["k1", "k2"]).select(node, "content", "buckets")
+    firsts = common.checkpoint(nodes.groupBy("content").agg(F.min(F.struct("v", "buckets")).alias("f"), F.count("*").alias("n")))
+    same = firsts.where("n > 1").select("content", F.col("f.v").alias("u"))
+    copies = nodes.join(same, "content").where("v <> u").select("v", "u", F.lit(1.0).alias("similarity"))
+    members = firsts.select("f.v", F.explode("f.buckets").alias("bucket"))
+    edges = common.checkpoint(copies.unionByName(graph.star_edges(members, lambda pairs: _edges(docs, pairs, idf, shingle, threshold))))
     best = edges.select("v", "similarity").unionByName(edges.select(F.col("u").alias("v"), "similarity")).groupBy("v").agg(F.max("similarity").alias("similarity"))
     label = graph.components(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     out = best.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
@@ -209,12 +213,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
 
 
 def _edges(docs: DataFrame, pairs: DataFrame, idf, shingle: int, threshold: float) -> DataFrame:
-    """(v, u, similarity) of the pairs that are near enough; pairs of the same words need no text."""
-    rest = pairs.where("not same")
-    found = _verify(docs, rest.select(F.col("v.k1").alias("a1"), F.col("v.k2").alias("a2"), F.col("u.k1").alias("b1"), F.col("u.k2").alias("b2")), idf, shingle, threshold)
-    keyed = rest.select("v", "u", F.col("v.k1").alias("a1"), F.col("v.k2").alias("a2"), F.col("u.k1").alias("b1"), F.col("u.k2").alias("b2"))
-    near = keyed.join(found, ["a1", "a2", "b1", "b2"]).select("v", "u", "similarity")
-    return pairs.where("same").select("v", "u", F.lit(1.0).alias("similarity")).unionByName(near)
+    """(v, u, similarity) of the pairs that are near enough."""
+    keyed = pairs.select("v", "u", F.col("v.k1").alias("a1"), F.col("v.k2").alias("a2"), F.col("u.k1").alias("b1"), F.col("u.k2").alias("b2"))
+    found = _verify(docs, keyed.select("a1", "a2", "b1", "b2"), idf, shingle, threshold)
+    return keyed.join(found, ["a1", "a2", "b1", "b2"]).select("v", "u", "similarity")
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:

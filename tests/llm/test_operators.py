@@ -205,6 +205,32 @@ def test_line_join_equals_brute_force(spark, distance):
     assert {(r.doc_id, r.line, r.first_doc_id, r.first_line) for r in got.collect()} == brute_lines(data, distance, 10, 20)
 
 
+def test_line_join_of_a_hot_segment_equals_brute_force(spark):
+    # lines that share only their tail with the leader, and each a link elsewhere
+    rng = random.Random(3)
+    tail = " :: shared common tail 01"
+    base = ["".join(rng.choice("abcdefghij") for _ in range(50)) for _ in range(60)]
+    pool = []
+    for x in base:
+        a, b, c, d = x, mutate(rng, x, 2), mutate(rng, x, 2), mutate(rng, x, 2)
+        pool += [t + tail for t in (a, b, c, d)]
+    data = [(i, t) for i, t in enumerate(pool)]
+    got = lines.repeated(spark.createDataFrame(data, "doc_id long, text string"), 2, 10, 32)
+    assert {(r.doc_id, r.line, r.first_doc_id, r.first_line) for r in got.collect()} == brute_lines(data, 2, 10, 32)
+
+
+def test_star_edges_connect_all_of_a_bucket(spark, monkeypatch):
+    # b~c only in the bucket of an unrelated leader 0, while b is linked to a and c to d elsewhere
+    monkeypatch.setattr(graph, "FEW", 0)
+    monkeypatch.setattr(graph, "ROUNDS", 1)
+    true = {(2, 1), (3, 2), (4, 3)} | {(x + 10, x) for x in range(20, 30)}
+    rows_ = [(v, 1) for v in (0, 2, 3)] + [(v, 2) for v in (1, 2)] + [(v, 3) for v in (3, 4)] + [(v, 4) for v in range(5, 40)]
+    near = spark.createDataFrame([(*p, 1.0) for p in true], "v long, u long, similarity double")
+    edges = graph.star_edges(spark.createDataFrame(rows_, "v long, bucket long"), lambda pairs: pairs.join(near, ["v", "u"]))
+    got = {r.v: r.label for r in graph.components(edges.selectExpr("v as a", "u as b")).collect()}
+    assert {got.get(v, v) for v in (1, 2, 3, 4)} == {1} and all(got[x + 10] == x for x in range(20, 30)) and not {0, 5, 19} & set(got)
+
+
 def test_lines_filter(spark, odd):
     data = rows(["a first line, quite long enough to count here\nkeep me once", "other text\na first line, quite long enough to count herq", "keep me once"])
     got = {r.doc_id: (r.text, r.n_chars) for r in lines.drop_repeated_lines(spark.createDataFrame(data, DOCS)).collect()}
