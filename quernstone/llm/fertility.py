@@ -5,7 +5,9 @@ one), the share of byte-fallback tokens (of the piece-based one), and the entrop
 greatest possible, log2 of their number. Bands are made for each language and octave of length (floor of log2 of the
 tokens, as spread and entropy depend on length), from all its documents: the median, less or plus ``width`` times the
 distance to the quartile on that side (at least ``floor``). A document of at least ``min_tokens`` tokens outside of a
-band is rejected; reasons names the bands. A group of fewer than ``min_group`` documents has no bands and rejects none.
+band is rejected; reasons names the bands. A group of fewer than ``min_group`` documents gets the bands of the first of
+LEVELS that has as many: the octaves about it, its language, those octaves of all languages, all documents. Only a table
+of fewer than ``min_group`` documents in all has no bands.
 
 One pass over the texts; what is shuffled is quantile sketches, a row for each group. Defined cases: a null or empty text
 has no tokens, null measures, and is kept; a null language is a group of its own; a null doc_id is kept; repeated rows
@@ -22,7 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common, tokens
 
 BYTES, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
-MIN_TOKENS, MIN_GROUP, WIDTH = 32, 30, 6.0
+MIN_TOKENS, MIN_GROUP, WIDTH = 1, 30, 6.0
+#: (whether of one language, octaves on either side; None: all) of the pools that a group may take its bands from, best first.
+LEVELS = ((True, 0), (True, 1), (True, 2), (True, None), (False, 1), (False, None))
 #: Measure: (side of the band: low, high or both; least distance to a quartile).
 BANDS = {"chars_per_token": ("both", 0.1), "piece_chars_per_token": ("both", 0.1), "byte_share": ("high", 0.01), "entropy": ("low", 0.02)}
 MEASURES = "doc_id long, lang string, n_tokens long, chars_per_token double, piece_chars_per_token double, byte_share double, entropy double"
@@ -75,10 +79,29 @@ def _edges(width: float) -> list[Column]:
     return out
 
 
+def _pool(level: int, octave: Column) -> Column:
+    """The name of a pool; names sort by level."""
+    lang = F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("is "), "lang")) if LEVELS[level][0] else F.lit("any")
+    return F.concat_ws(":", F.lit(level), octave, lang)
+
+
 def bands(measured: DataFrame, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP, width: float = WIDTH) -> DataFrame:
-    """The bands of each (language, octave) that has enough documents."""
-    long = measured.where(F.col("n_tokens") >= min_tokens)
-    return long.groupBy("lang", _octave().alias("octave")).agg(F.count("*").alias("n_documents"), *_edges(width)).where(F.col("n_documents") >= min_group)
+    """The bands of each (language, octave), from the first of its pools that has enough documents."""
+    long = measured.where(F.col("n_tokens") >= max(min_tokens, 1)).withColumn("octave", _octave())
+    groups = common.checkpoint(long.groupBy("lang", "octave").agg(F.count("*").alias("n")))
+    gives, takes = [], []
+    for i, (_, far) in enumerate(LEVELS):
+        gives += [_pool(i, F.lit(0))] if far is None else [_pool(i, F.col("octave") + d) for d in range(-far, far + 1)]
+        takes.append(_pool(i, F.lit(0) if far is None else F.col("octave")))
+    given = groups.select("lang", "octave", "n", F.explode(F.array(*gives)).alias("pool"))
+    enough = given.groupBy("pool").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group)
+    taken = groups.select("lang", "octave", F.explode(F.array(*takes)).alias("pool")).join(enough, "pool").groupBy("lang", "octave").agg(F.min("pool").alias("pool"))
+    taken = common.checkpoint(taken)
+    used = given.join(taken.select("pool").distinct(), "pool", "left_semi").groupBy("lang", "octave").agg(F.collect_list("pool").alias("pools"))
+    used = common.checkpoint(used.select(F.col("lang").alias("_lang"), F.col("octave").alias("_octave"), "pools"))
+    rows = long.join(common.small(used, 1024), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("octave") == F.col("_octave")))
+    made = rows.withColumn("pool", F.explode("pools")).groupBy("pool").agg(F.count("*").alias("n_documents"), *_edges(width))
+    return taken.join(made, "pool").drop("pool")
 
 
 def _octave() -> Column:

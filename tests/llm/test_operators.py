@@ -538,6 +538,14 @@ def test_fertility_rejects_the_odd_one_out(spark):
     assert [i for i, r in got.items() if not r.keep] == [120] and "entropy" in got[120].reasons
 
 
+def test_fertility_judges_small_groups(spark):
+    rng = random.Random(19)
+    docs = rows([prose(rng, 100) for _ in range(60)])
+    docs += [(100, "balin " * 4000, "en", "s", None), (101, "balin " * 100, "xx", "s", None), (102, "\U0001f600" * 5, "en", "s", None), (103, prose(rng, 100), "xx", "s", None)]
+    got = {r.doc_id: r.keep for r in fertility.judge(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {i for i, keep in got.items() if not keep} == {100, 101, 102}
+
+
 def test_fertility_odd(spark, odd):
     got = fertility.judge(odd).collect()
     assert len(got) == len(ODD) and all(r.keep for r in got)
