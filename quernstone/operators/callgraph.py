@@ -38,7 +38,7 @@ def edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return sites.where("caller is not null").select("caller", F.col("name").alias("callee")).distinct()
 
 
-def impact(docs: DataFrame, symbols: DataFrame, refs: DataFrame, name: str, depth: int = 3, limit: int = 200) -> DataFrame:
+def impact(docs: DataFrame, symbols: DataFrame, refs: DataFrame, name: str, depth: int = 3, limit: int | None = 200) -> DataFrame:
     """Symbols that reach the name by at most depth calls, with their distance; distance 0 is the name's own definitions.
 
     A hop is a join of the frontier with the edges; reached names are kept in the shared folder, so no hop repeats one.
@@ -54,7 +54,8 @@ def impact(docs: DataFrame, symbols: DataFrame, refs: DataFrame, name: str, dept
             break
         seen = seen.unionByName(frontier)
     hits = symbols.join(seen, "name").join(docs.select("doc_id", "path", "lang"), "doc_id")
-    return hits.select("name", "kind", "path", "lang", "line_start", "line_end", "distance").orderBy("distance", "path", "line_start", "name").limit(limit)
+    out = hits.select("name", "kind", "path", "lang", "line_start", "line_end", "distance").orderBy("distance", "path", "line_start", "name")
+    return out if limit is None else out.limit(limit)
 
 
 def resolved_references(docs: DataFrame, symbols: DataFrame, refs: DataFrame, name: str, limit: int | None = 100, offset: int = 0) -> DataFrame:

@@ -248,8 +248,8 @@ def match_text(pattern: str, text: str) -> list[tuple[int, int, str, str, list[t
 STRUCT = "doc_id long, line_start int, line_end int, kind string, text string, captures array<struct<name:string,text:string,line:int>>"
 
 
-def structural(docs: DataFrame, pattern: str, lang: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Places of one language where the pattern's shape stands. The longest word of the pattern filters texts in the scan."""
+def structural(docs: DataFrame, pattern: str, lang: str, limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """Places of one language where the pattern's shape stands; all of them for limit None. The longest word of the pattern filters texts in the scan."""
     if pattern.strip().startswith("("):
         raise ValueError("raw tree queries need a tree parser that isn't installed; give a $NAME pattern")
     anchors = sorted(re.findall(r"(?<![\w$])[A-Za-z_]\w{2,}", pattern), key=len)
@@ -269,7 +269,8 @@ def structural(docs: DataFrame, pattern: str, lang: str, limit: int = 50, offset
             yield pd.DataFrame(out, columns=["doc_id", "line_start", "line_end", "kind", "text", "captures"])
 
     rows = d.select("doc_id", "text").mapInPandas(run, STRUCT).join(docs.select("doc_id", "path", "lang"), "doc_id")
-    return rows.orderBy("path", "line_start", "line_end").offset(offset).limit(limit).select("path", "lang", "line_start", "line_end", "kind", "text", "captures")
+    rows = rows.orderBy("path", "line_start", "line_end").offset(offset)
+    return (rows if limit is None else rows.limit(limit)).select("path", "lang", "line_start", "line_end", "kind", "text", "captures")
 
 
 def identifier_at(text: str, lang: str, line: int, column: int) -> tuple[str, bool, bool, bool, bool] | None:

@@ -176,7 +176,7 @@ add(
     _enc.format(w="name IN (SELECT name FROM symbols)")
     + """, e AS (SELECT DISTINCT caller, name AS callee FROM enc WHERE rn = 1 AND caller IS NOT NULL), walk AS (SELECT 'thble' AS name, 0 AS d UNION SELECT e.caller, d + 1 FROM walk JOIN e ON e.callee = walk.name WHERE d < 3),
  seen AS (SELECT name, min(d) AS distance FROM walk GROUP BY name) SELECT s.name, s.kind, path, lang, line_start, line_end, CAST(distance AS INT) AS distance FROM symbols s JOIN seen USING (name) JOIN docs USING (doc_id)""",
-)(_graph(lambda d, y, r: G.impact(d, y, r, "thble", 3, 10_000_000), None))
+)(_graph(lambda d, y, r: G.impact(d, y, r, "thble", 3, None), None))
 add(
     "references_resolved",
     _enc.format(w="name = 'nicht'")

@@ -189,7 +189,7 @@ def _sources(s, p):
 
 add("python_symbols")(lambda s, p: X.extract(_sources(s, p))[0])
 add("python_calls")(lambda s, p: X.extract(_sources(s, p))[1])
-add("structural_match")(lambda s, p: X.structural(_sources(s, p), "def $NAME($$$): $$$", "python", 1_000_000))
+add("structural_match")(lambda s, p: X.structural(_sources(s, p), "def $NAME($$$): $$$", "python", None))
 
 
 @add("stream_incremental_index", " SELECT lang, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM docs WHERE doc_id % 11 <> 3 GROUP BY lang")

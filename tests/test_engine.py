@@ -275,3 +275,11 @@ def test_stream_events(spark):
     state = spark.createDataFrame([("a", 1), ("b", 2)], "path string, v int")
     batch = spark.createDataFrame([("a", 9, 2, "put"), ("a", 8, 1, "put"), ("b", 0, 3, "delete"), ("c", 5, 4, "put")], "path string, v int, seq int, op string")
     assert {(r.path, r.v) for r in watch.apply(state, batch).collect()} == {("a", 9), ("c", 5)}
+
+
+@pytest.mark.parametrize("name", ["structural_match", "blast_radius"])
+def test_whole_results_have_no_row_cap(spark, name):
+    from quernstone.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
