@@ -182,8 +182,8 @@ add("range_size", " SELECT path, CAST(coalesce(list_sum(list_transform(string_sp
 def _sources(s, p):
     d = standin.docs(s, p)
     w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " +"), lambda x: F.length(x) > 3)
-    name = lambda i: F.coalesce(F.concat(F.get("w", F.lit(i)), F.lit("_x")), F.lit(f"name{i}"))
-    code = F.concat(F.lit("import os\n\nclass "), name(0), F.lit(":\n    def "), name(1), F.lit("(self, a):\n        return "), name(2), F.lit("(a)\n\ndef "), name(2), F.lit("(b):\n    return os.path.join(b)\n"))
+    part = lambda x, i: F.concat(F.lit("def "), x, F.lit("_x(a):\n    return "), F.coalesce(F.get("w", i + 1), F.lit("name")), F.lit("_x(a)\n\n"))
+    code = F.concat(F.lit("import os\n\nclass Name_x:\n    def name_x(self, a):\n        return os.path.join(a)\n\n"), F.array_join(F.transform("w", part), ""))
     return d.withColumn("w", w).withColumn("text", code).withColumn("lang", F.lit("python")).drop("w")
 
 

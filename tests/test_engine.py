@@ -283,3 +283,13 @@ def test_whole_results_have_no_row_cap(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan
+
+
+def test_extraction_queries_see_all_words(spark):
+    from quernstone.queries import more
+
+    d = more._sources(spark, "/root/testdata/sf0.001").limit(20).cache()
+    s, r = more.X.extract(d)
+    words = {x.doc_id: x.text.count("\ndef ") for x in d.collect()}
+    defs = {x.doc_id: x["count"] for x in s.where("kind = 'function'").groupBy("doc_id").count().collect()}
+    assert max(words.values()) > 50 and {i: n for i, n in words.items() if n} == defs
