@@ -10,8 +10,9 @@
   All documents are scored, whole, in one pass without a shuffle.
 
 Defined cases: a null or empty text has no indicators and gets the model's bias; a null doc_id is kept; repeated rows
-are each scored; labels with a null field are left out, of repeated labels for an id the least counts; without labels
-of both classes every document gets the rate of good labels (1 without labels) and is kept; other columns are ignored.
+are each scored; labels with a null field are left out, of repeated labels for an id the least counts; of documents
+that share a labelled id the one of least text hash is fitted on; where the labelled documents found aren't of both
+classes every document gets the rate of good labels (1 without labels) and is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    rate: float | None = None  # what every document gets, where there is nothing to fit
 
     def margins(self, text: np.ndarray, ind: np.ndarray, n: int) -> np.ndarray:
         s, q = np.bincount(text, self.weight[ind], n), np.bincount(text, self.square[ind], n)
@@ -145,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     given = given.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = {r[0]: r[1] > 0 for r in given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()}
-    if not chosen or all(chosen.values()) or not any(chosen.values()):
-        rate = float(np.mean(list(chosen.values()))) if chosen else 1.0
-        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, 30.0 if rate > 0 else 0.0)
+    flat = Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, rate=float(np.mean(list(chosen.values()))) if chosen else 1.0)
+    if not 0 < sum(chosen.values()) < len(chosen):
+        return flat
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         lens, inds = [], []
@@ -159,9 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(inds).astype(np.int32)))], ["doc_id", "ind"])
 
     wanted = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    rows = common.each_batch(common.text_of(docs).join(F.broadcast(wanted), "doc_id", "left_semi"), batch, "doc_id long, ind array<int>").toArrow()
+    own = common.text_of(docs).join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = common.each_batch(own, batch, "doc_id long, ind array<int>").toArrow()  # max_rows rows at most
+    if not 0 < sum(chosen[i] for i in rows["doc_id"].to_pylist()) < len(rows):
+        return flat
     ids = rows["doc_id"].to_numpy()
-    order = np.lexsort((ids, words.mix(ids.astype(np.uint64))))[:max_rows]
+    order = np.lexsort((ids, words.mix(ids.astype(np.uint64))))
     rows = rows.take(pa.array(order)).combine_chunks()
     lists = rows["ind"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -180,7 +185,10 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             t, i = indicators(cps, offs)
             q.append(bc.value.quality(bc.value.margins(t, i, hi - lo)))
         quality = np.concatenate(q)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(quality), pa.array(quality >= threshold)], ["doc_id", "quality", "keep"])
+        flat = bc.value.rate is not None
+        if flat:
+            quality[:] = bc.value.rate
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(quality), pa.array((quality >= threshold) | flat)], ["doc_id", "quality", "keep"])
 
     return common.each_batch(common.text_of(docs), batch, SCHEMA)
 
