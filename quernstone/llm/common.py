@@ -31,6 +31,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+        conf = sc._jsc.sc().conf()
+        if not conf.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+            conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files go when nothing refers to them
     return df.checkpoint(eager=True)
 
 
@@ -38,6 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_path named."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
