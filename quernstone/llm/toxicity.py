@@ -1,26 +1,30 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 * Examples: at most ``max_examples`` labelled documents, half of each class where there are so many, chosen by a hash of
-  their ids; near copies of an earlier example (half of 16 min-hashes equal) leave. This is the one bounded sample.
-* Terms: words, and their first four and five letters (which inflected forms share), that the two classes of examples use at clearly different rates (chi-squared at least ``chi``, log ratio
-  of document rates at least ``ratio``). A term weighs (1 + ln tf) * idf * |log ratio|; document frequencies for idf are
-  counted over all documents. Vectors have length one.
+  their ids. This is the one bounded sample.
+* Terms: all words of the examples. A term weighs (1 + ln tf) * idf * |ln of the ratio of its document rates in the two
+  classes of examples|, by smoothed counts; document frequencies for idf are counted over all documents. A word that no
+  example has occurs equally often in both classes, so its weight is 0 and nothing is left out. Vectors have length one.
+  (Without the class ratio the neighbours say little about toxicity; the README has the figures.)
 * Index: examples stand in blocks; each term has postings by block and the greatest weight in each block. For a query,
   blocks are visited in order of their bound, the sum over its terms of weight times block maximum, until the bound of
   the next is under the k-th similarity found: the k nearest are exact. A batch of queries is worked on at once.
-* Score: neighbours vote with weight 1 / (1.1 - similarity); slots without a neighbour of positive similarity vote with
-  the base rate. The votes are calibrated by a logistic curve, fitted to leave-one-out votes of the examples at the
-  labelled base rate. A document is rejected at ``threshold``; its neighbours are the evidence.
-
-Every document is a query, whole. Only (term, frequency) rows are shuffled. Defined cases: a null, empty or wordless
-text has no terms, no neighbours and the base score; a null doc_id is kept; repeated rows are each scored; labels with a
-null field are left out, of repeated labels for an id the greatest counts; equal similarities go by example number;
-without labels of both classes the score is the base rate (0 without labels) and nothing is rejected.
+* Score: neighbours vote with weight 1 / (1.01 - similarity), so that a copy of an example outvotes the rest; slots
+  without a neighbour of positive similarity vote with the base rate. The votes are calibrated by a logistic curve,
+  fitted at the labelled base rate to votes on a fifth of the examples by an index of the others. A document is rejected at ``threshold``; its neighbours are the evidence.
+
+Every document is a query, whole. Only (term, frequency) rows are shuffled. Defined cases: a document without a
+neighbour (null, empty or wordless text, no term of an example) gets the labelled base rate as its score and is not
+rejected; a null doc_id is kept; repeated rows are each scored; labels with a null field are left out, of repeated
+labels for an id the greatest counts; of documents that share a labelled id the one of least text
+hash is the example; equal similarities go by
+example number. Without examples of both classes every score is the base rate (0 without labels) and nothing is
+rejected.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,94 +33,120 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, words
 
-MAX_EXAMPLES, K, THRESHOLD, CHI, RATIO, BLOCK = 4096, 16, 0.5, 20.0, 2.0, 64
-PREFIXES = (4, 5)
+MAX_EXAMPLES, K, THRESHOLD, BLOCK, STEP = 4096, 16, 0.7, 64, 8
 SCHEMA = "doc_id long, toxicity double, rejected boolean, neighbours array<long>, similarities array<double>"
+NEAR_COPY = 0.9
 
 
 @dataclass
 class Index:
-    """terms: sorted hashes. weight: idf * |log ratio|. post_*: postings in order of (block, term)."""
+    """terms: sorted hashes. weight: idf * |log ratio|. Entry e is a (term, block): its postings are entry_at[e] to entry_at[e + 1]."""
 
     terms: np.ndarray
     weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    post_at: np.ndarray  # [blocks * terms + 1]
-    post_example: np.ndarray
-    post_weight: np.ndarray
-    maxima: np.ndarray  # [terms, blocks]
     base: float
+    entry_term: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    entry_block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    entry_max: np.ndarray = field(default_factory=lambda: np.zeros(1))  # the last, for no entry, is 0
+    entry_at: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))
+    post_example: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint8))  # within its block
+    post_weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     slope: float = 8.0
     shift: float = -4.0
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_slots"}
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    def slots(self) -> np.ndarray:
+        """Entry of each (term, block), the last for none; made once in each worker."""
+        if "_slots" not in self.__dict__:
+            s = np.full((len(self.terms), self.blocks), len(self.entry_max) - 1, np.int32)
+            s[self.entry_term, self.entry_block] = np.arange(len(self.entry_term))
+            self.__dict__["_slots"] = s
+        return self.__dict__["_slots"]
+
+    def fill(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Postings of the examples' vectors."""
+        ex = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+        order = np.lexsort((ex, term))
+        ex, term, weight = ex[order], term[order], weight[order]
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (ex[1:] // BLOCK != ex[:-1] // BLOCK)])) if len(term) else np.empty(0, np.int64)
+        self.entry_term, self.entry_block = term[new].astype(np.int32), (ex[new] // BLOCK).astype(np.int32)
+        self.entry_max = np.append(np.maximum.reduceat(weight, new) if len(new) else np.empty(0), 0.0)
+        self.entry_at = np.concatenate([new, [len(term), len(term)]]).astype(np.int64)
+        self.post_example, self.post_weight = (ex % BLOCK).astype(np.uint8), weight
+
     def vectors(self, text: np.ndarray, h: np.ndarray, n: int):
         """(bounds, term, weight) of n texts of which word h[i] is in text[i]."""
         at = np.minimum(np.searchsorted(self.terms, h), max(len(self.terms) - 1, 0))
         known = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
-        t, term, tf = words.unique_pairs(text[known], at[known])
+        return self.weigh(*words.unique_pairs(text[known], at[known]), n)
+
+    def weigh(self, text: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int):
         w = (1 + np.log(tf)) * self.weight[term]
-        norm = np.sqrt(np.bincount(t, w * w, minlength=n))
-        return np.searchsorted(t, np.arange(n + 1)), term, (w / norm[t]).astype(np.float64)
+        norm = np.sqrt(np.bincount(text, w * w, minlength=n))
+        return np.searchsorted(text, np.arange(n + 1)), term, w / norm[text]
 
     def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None, prune: bool = True):
         """(examples, similarities), both [n, k], in order; -1 and 0 where fewer have a positive similarity.
 
         without: an example that each query must not find. prune = False visits all blocks.
         """
-        n, blocks = len(bounds) - 1, self.maxima.shape[1]
+        n, blocks = len(bounds) - 1, self.blocks
         best = np.full((n, k), -1, np.int64)
         sim = np.zeros((n, k))
         has = np.flatnonzero(np.diff(bounds) > 0)
         if not len(has) or not blocks:
             return best, sim
+        slots = self.slots()
         bound = np.zeros((n, blocks))
-        bound[has] = np.add.reduceat(self.maxima[term] * weight[:, None], bounds[has], axis=0)
+        bound[has] = np.add.reduceat(self.entry_max[slots[term]] * weight[:, None], bounds[has], axis=0)
         order = np.argsort(-bound, axis=1, kind="stable")
         active = has
-        for step in range(blocks):
-            b = order[active, step]
-            top = bound[active, b]
-            go = (top > 0) & ((top >= sim[active, -1] - 1e-9) | (not prune))
-            active, b = active[go], b[go]
+        for step in range(0, blocks, STEP):
+            top = bound[active, order[active, step]]
+            active = active[(top > 0) & ((top >= sim[active, -1] - 1e-9) | (not prune))]
             if not len(active):
                 break
+            b = order[active, step : step + STEP]
+            wide = b.shape[1]
             lens = np.diff(bounds)[active]
             q = np.repeat(np.arange(len(active)), lens)
             src = np.repeat(bounds[active] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            cell = b[q] * len(self.terms) + term[src]
-            many = self.post_at[cell + 1] - self.post_at[cell]
-            p = np.repeat(self.post_at[cell] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            owner = np.repeat(q, many)
-            dots = np.bincount(owner * BLOCK + self.post_example[p] % BLOCK, self.post_weight[p] * np.repeat(weight[src], many), minlength=len(active) * BLOCK).reshape(-1, BLOCK)
-            found = b[:, None] * BLOCK + np.arange(BLOCK)
+            entry = slots[term[src][:, None], b[q]].ravel()
+            hit = np.flatnonzero(entry < len(self.entry_term))
+            entry, cell, w = entry[hit], (q[:, None] * wide + np.arange(wide)).ravel()[hit], weight[src][hit // wide]
+            many = self.entry_at[entry + 1] - self.entry_at[entry]
+            p = np.repeat(self.entry_at[entry] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            dots = np.bincount(np.repeat(cell, many) * BLOCK + self.post_example[p], self.post_weight[p] * np.repeat(w, many), minlength=len(active) * wide * BLOCK).reshape(len(active), -1)
+            found = (b[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(active), -1)
             if without is not None:
                 dots[found == without[active][:, None]] = 0
             both, who = np.concatenate([sim[active], dots], axis=1), np.concatenate([best[active], np.where(dots > 0, found, -1)], axis=1)
+            if both.shape[1] > 4 * k:  # the k-th largest and all its equals, then the order of those alone
+                least = -np.partition(-both, k - 1, axis=1)[:, k - 1 : k]
+                width = int((both >= least).sum(axis=1).max())
+                few = np.argpartition(-both, min(max(width, k), both.shape[1]) - 1, axis=1)[:, : max(width, k)]
+                both, who = np.take_along_axis(both, few, 1), np.take_along_axis(who, few, 1)
             rank = np.lexsort((np.where(who < 0, 1 << 40, who), -both), axis=1)[:, :k]
             sim[active], best[active] = np.take_along_axis(both, rank, 1), np.take_along_axis(who, rank, 1)
         return best, sim
 
-    def votes(self, best: np.ndarray, sim: np.ndarray, base: float | None = None) -> np.ndarray:
-        w = 1 / (1.1 - np.minimum(sim, 1.0))
-        base = self.base if base is None else base
-        y = np.where(best >= 0, self.labels[best], base) if len(self.labels) else np.full(best.shape, base)
+    def votes(self, best: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        w = 1 / (1.01 - np.minimum(sim, 1.0))
+        y = np.where(best >= 0, self.labels[best], self.base) if len(self.labels) else np.full(best.shape, self.base)
         return (w * y).sum(axis=1) / w.sum(axis=1)
 
     def scores(self, best: np.ndarray, sim: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.votes(best, sim) + self.shift)))
-
-
-def features(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every word and of the first letters of longer ones."""
-    text, start, end, h = words.words(cps, offs)
-    low = words.lookup("lower", cps)
-    texts, hashes = [text], [h]
-    for n in PREFIXES:
-        long = end - start > n
-        texts.append(text[long])
-        hashes.append(words.hash_runs(low, start[long], start[long] + n, seed=n))
-    return np.concatenate(texts), np.concatenate(hashes)
+        """The base rate where nothing was found."""
+        found = 1 / (1 + np.exp(-(self.slope * self.votes(best, sim) + self.shift)))
+        return np.where(best[:, 0] >= 0, found, self.base)
 
 
 def _fit_curve(v: np.ndarray, y: np.ndarray, base: float) -> tuple[float, float]:
@@ -136,40 +166,68 @@ def _fit_curve(v: np.ndarray, y: np.ndarray, base: float) -> tuple[float, float]
     return float(beta[0]), float(beta[1])
 
 
-def build_index(ids: np.ndarray, y: np.ndarray, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf_of, chi: float, ratio: float, base: float, k: int) -> Index:
+def build_index(ids: np.ndarray, y: np.ndarray, bounds: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf_of, base: float, k: int, fit: bool = True) -> Index:
     """ids, y, and the words terms[bounds[i]:bounds[i + 1]] with counts tf of each example. idf_of(hashes) gives their idf."""
-    owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
+    if not 0 < y.sum() < len(y):
+        return Index(np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64), np.empty(0), base)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
     v, inv = np.unique(terms, return_inverse=True)
+    inv = inv.astype(np.int32)
     a, b = np.bincount(inv, y[owner], len(v)), np.bincount(inv, 1 - y[owner], len(v))
-    na, nb = y.sum(), (1 - y).sum()
-    n = na + nb
-    x2 = n * np.maximum(np.abs(a * (nb - b) - b * (na - a)) - n / 2, 0) ** 2 / np.maximum((a + b) * (n - a - b) * na * nb, 1e-9)
-    delta = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
-    chosen = np.flatnonzero((x2 >= chi) & (np.abs(delta) >= ratio))
-    vocabulary = v[chosen]
-    index = Index(vocabulary, idf_of(vocabulary) * np.abs(delta[chosen]), ids, y, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(chosen), 0)), base)
-    flat = np.repeat(terms, tf)
-    bnd, term, w = index.vectors(np.repeat(owner, tf), flat, len(ids))
-    blocks = -(-len(ids) // BLOCK)
-    ex = np.repeat(np.arange(len(ids)), np.diff(bnd))
-    cell = (ex // BLOCK) * len(vocabulary) + term
-    order = np.lexsort((ex, cell))
-    index.post_at = np.searchsorted(cell[order], np.arange(blocks * len(vocabulary) + 1))
-    index.post_example, index.post_weight = ex[order], w[order]
-    index.maxima = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(index.maxima, (term, ex // BLOCK), w)
-    best, sim = index.nearest(bnd, term, w, k, np.arange(len(ids)))
-    index.slope, index.shift = _fit_curve(index.votes(best, sim), y, base)
+    delta = np.abs(np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1)))
+    idf = idf_of(v)
+    curve = _calibrate(ids, y, bounds, terms, tf, v, idf, base, k) if fit else (8.0, -4.0)
+    weight = idf * delta
+    # blocks of one class and of examples with the same heaviest term, so that a block's maxima are those of few topics
+    heavy = np.lexsort((-weight[inv] * (1 + np.log(tf)), owner))
+    first = heavy[np.searchsorted(owner, np.arange(len(ids)))[np.diff(bounds) > 0]]
+    topic = np.full(len(ids), -1, np.int64)
+    topic[owner[first]] = inv[first]
+    rank = np.lexsort((topic, y))
+    place = np.empty(len(ids), np.int32)
+    place[rank] = np.arange(len(ids))
+    index = Index(v, weight, ids[rank], y[rank], base)
+    order = np.lexsort((inv, place[owner]))
+    bnd, term, w = index.weigh(place[owner][order], inv[order], tf[order], len(ids))
+    used = w > 0  # a word as frequent in either class weighs nothing
+    bnd = np.concatenate([[0], np.cumsum(used)])[bnd]
+    term, w = term[used], w[used]
+    index.fill(bnd, term, w)
+    index.slope, index.shift = curve
     return index
 
 
+def _calibrate(ids, y, bounds, terms, tf, v, idf, base: float, k: int) -> tuple[float, float]:
+    """The curve for votes on every fifth example of each class by an index of the others; their copies don't vote."""
+    fifth = np.zeros(len(y), bool)
+    for c in (0, 1):
+        fifth[np.flatnonzero(y == c)[4::5]] = True
+    if not fifth.any() or not 0 < y[fifth].sum() < fifth.sum():
+        return 8.0, -4.0
+    owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
+    rest = ~fifth[owner]
+    n = np.diff(bounds)
+    index = build_index(ids[~fifth], y[~fifth], np.concatenate([[0], np.cumsum(n[~fifth])]), terms[rest], tf[rest], lambda u: idf[np.searchsorted(v, u)], base, k, fit=False)
+    votes = []
+    for lo in range(0, len(y), 256):
+        some = np.flatnonzero(fifth[lo : lo + 256]) + lo
+        own = np.isin(owner, some)
+        at = np.minimum(np.searchsorted(index.terms, terms[own]), len(index.terms) - 1)
+        known = index.terms[at] == terms[own]
+        text, term, count = np.searchsorted(some, owner[own][known]), at[known], tf[own][known]
+        order = np.lexsort((term, text))
+        best, sim = index.nearest(*index.weigh(text[order], term[order], count[order], len(some)), k)
+        votes.append(index.votes(np.where(sim > NEAR_COPY, -1, best), np.where(sim > NEAR_COPY, 0, sim)))
+    return _fit_curve(np.concatenate(votes), y[fifth], base)
+
+
 def _bag(docs: DataFrame) -> DataFrame:
     """(doc_id, terms, tf) of documents."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         bounds, terms, tfs, had = [np.zeros(1, np.int64)], [], [], 0
         for lo, hi, cps, offs in words.layouts(b.column("text")):
-            text, h = features(cps, offs)
+            text, _, _, h = words.words(cps, offs)
             t, term, tf = words.unique_pairs(text, h)
             bounds.append(had + np.searchsorted(t, np.arange(1, hi - lo + 1)))
             had += len(t)
@@ -181,21 +239,6 @@ def _bag(docs: DataFrame) -> DataFrame:
     return common.each_batch(docs, batch, "doc_id long, terms array<long>, tf array<long>")
 
 
-def _distinct(bounds: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """The examples that aren't near copies of an earlier one."""
-    n = len(bounds) - 1
-    s = np.zeros((n, 16), np.uint64)
-    has = np.flatnonzero(np.diff(bounds) > 0)
-    for j in range(16):
-        s[:, j] = np.arange(n, dtype=np.uint64)
-        if len(has):
-            s[has, j] = np.minimum.reduceat(words.mix(terms + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))), bounds[has])
-    keep = np.zeros(n, bool)
-    for i in range(n):
-        keep[i] = not ((s[:i][keep[:i]] == s[i]).sum(axis=1) >= 8).any()
-    return np.flatnonzero(keep)
-
-
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """(documents with each of the sorted terms, number of documents), over all of them."""
     bc = docs.sparkSession.sparkContext.broadcast(terms)
@@ -206,7 +249,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         for b in batches:
             df[-1] += b.num_rows
             for _, _, cps, offs in words.layouts(b.column("text")):
-                text, h = features(cps, offs)
+                text, _, _, h = words.words(cps, offs)
                 at = np.minimum(np.searchsorted(v, h), max(len(v) - 1, 0))
                 known = v[at] == h if len(v) else np.zeros(len(h), bool)
                 df += np.bincount(words.unique_pairs(text[known], at[known])[1], minlength=len(df))
@@ -214,55 +257,44 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["i", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    for i, n in docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n")).collect():  # one row a term
-        out[i] = n
+    rows = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # one row a term
+    out[rows["i"].to_numpy()] = rows["n"].to_numpy()
+    bc.unpersist()
     return out[:-1], int(out[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = K, chi: float = CHI, ratio: float = RATIO) -> Index:
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = K) -> Index:
     """The index of the labelled examples."""
     spark, docs = docs.sparkSession, common.text_of(docs)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).dropna()
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rates = given.agg(F.count("*"), F.avg("toxic")).first()
-    base = float(rates[1] or 0.0)
+    base = float(given.agg(F.avg("toxic")).first()[0] or 0.0)
     pick = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples // 2) for c in (0, 1)]
     chosen = {r[0]: r[1] for p in pick for r in p.collect()}  # max_examples rows at most
-    rows = []
-    if chosen:
-        wanted = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-        rows = _bag(docs.join(F.broadcast(wanted), "doc_id", "left_semi")).toArrow()
-        order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-        hashed = np.argsort(words.mix(rows["doc_id"].to_numpy()[order].astype(np.uint64)), kind="stable")
-        rows = rows.take(pa.array(order[hashed])).slice(0, max_examples).combine_chunks()
-    if not len(rows):
-        return Index(np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 0)), base, 0.0, _logit(base))
+    none = np.empty(0, np.int64)
+    if not 0 < sum(chosen.values()) < len(chosen):
+        return build_index(none, none, np.zeros(1, np.int64), none, none, None, base, k)
+    wanted = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    own = docs.join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = _bag(own).toArrow()  # max_examples rows at most
     ids = rows["doc_id"].to_numpy()
+    order = np.lexsort((ids, words.mix(ids.astype(np.uint64))))
+    rows = rows.take(pa.array(order)).combine_chunks()
+    ids = ids[order]
     y = np.array([chosen[i] for i in ids.tolist()], float)
-    counts = pc.list_value_length(rows["terms"]).to_numpy().astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    terms, tf = rows["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), rows["tf"].combine_chunks().flatten().to_numpy()
-    keep = _distinct(bounds, terms)
-    inside = np.isin(np.repeat(np.arange(len(ids)), counts), keep)
-    ids, y, counts, terms, tf = ids[keep], y[keep], counts[keep], terms[inside], tf[inside]
-    if not 0 < y.sum() < len(y):
-        return Index(np.empty(0, np.uint64), np.empty(0), ids, y, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 0)), base, 0.0, _logit(min(base, 0.49)))
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["terms"]).to_numpy().astype(np.int64))])
+    terms, tf = (rows[c].combine_chunks().flatten().to_numpy() for c in ("terms", "tf"))
 
     def idf(vocabulary: np.ndarray) -> np.ndarray:
         df, n = document_frequencies(docs, vocabulary)
         return np.log(max(n, 1) / np.maximum(df, 1)) + 1
 
-    return build_index(ids, y, np.concatenate([[0], np.cumsum(counts)]), terms, tf, idf, chi, ratio, base, k)
-
-
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-6), 1 - 1e-6)
-    return float(np.log(p / (1 - p)))
+    return build_index(ids, y, bounds, terms.view(np.uint64), tf, idf, base, k)
 
 
 def _search(index: Index, col: pa.Array, k: int):
     for lo, hi, cps, offs in words.layouts(col):
-        text, h = features(cps, offs)
+        text, _, _, h = words.words(cps, offs)
         best, sim = index.nearest(*index.vectors(text, h, hi - lo), k)
         yield lo, hi, best, sim
 
@@ -272,16 +304,17 @@ def scores(docs: DataFrame, index: Index, k: int = K, threshold: float = THRESHO
     bc = docs.sparkSession.sparkContext.broadcast(index)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        score, near, sims, lens = [], [], [], []
+        score, near, sims, lens, rejected = [], [], [], [], []
         for _, _, best, sim in _search(bc.value, b.column("text"), k):
             score.append(bc.value.scores(best, sim))
             has = best >= 0
+            rejected.append(has[:, 0] & (score[-1] >= threshold))
             lens.append(has.sum(axis=1))
             near.append(bc.value.ids[best[has]] if len(bc.value.ids) else np.empty(0, np.int64))
             sims.append(sim[has])
         s = np.concatenate(score)
         offs = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array(s >= threshold), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(near).astype(np.int64))), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sims)))], ["doc_id", "toxicity", "rejected", "neighbours", "similarities"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array(np.concatenate(rejected)), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(near).astype(np.int64))), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sims)))], ["doc_id", "toxicity", "rejected", "neighbours", "similarities"])
 
     return common.each_batch(common.text_of(docs), batch, SCHEMA)
 
@@ -291,7 +324,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, k: int = K, threshold: float
     bc = docs.sparkSession.sparkContext.broadcast(train(docs, labels, k=k, **training))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep = np.concatenate([bc.value.scores(best, sim) < threshold for _, _, best, sim in _search(bc.value, b.column("text"), k)])
+        keep = np.concatenate([(best[:, 0] < 0) | (bc.value.scores(best, sim) < threshold) for _, _, best, sim in _search(bc.value, b.column("text"), k)])
         return b.filter(pa.array(keep)) if keep.any() else None
 
     return common.each_batch(docs, batch, docs.schema)
