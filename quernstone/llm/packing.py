@@ -5,10 +5,11 @@ rests are counted in a histogram of ``window / grain`` bins, lengths rounded up.
 bins that fill a window exactly are enumerated; the repeat count of each is solved for by non-negative least squares
 against the histogram, rounded, and cut to what the histogram holds. Pieces are then numbered within their bins, and a
 number says which repeat of which combination the piece goes to. What is left over is packed greedily, best fit
-decreasing, in groups of about ``group`` pieces.
+decreasing, as one: the driver packs the counts of the exact lengths, whole runs of equal windows at a time, and pieces
+find their window by their number within their length.
 
-At scale: the histogram and the solution are as large as the number of bins, whatever the corpus; numbering is a prefix
-sum over (bin, part), with parts by hash so that no task holds a whole bin; only (key, length) rows are shuffled.
+At scale: the histogram and both plans are as large as the window, whatever the corpus; numbering is a prefix sum over
+(bin, part) or (length, part), with parts by hash so that no task holds a whole bin; only (key, length) rows are shuffled.
 
 Defined cases: a null or empty text has no tokens and is in no window; a null doc_id is kept; repeated rows are each
 packed; ties in length are broken by doc_id, then by position in the input; other columns are ignored; an empty table
@@ -21,14 +22,13 @@ import bisect
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from . import common, tokens
 
-WINDOW, GRAIN, DEPTH, GROUP, PART = 2048, 16, 3, 20_000, 100_000
+WINDOW, GRAIN, DEPTH, PART = 2048, 16, 3, 100_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "window_id string, slot int, offset int, doc_id long, start long, length int"
 
@@ -101,57 +101,70 @@ def solve(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ..
     return out
 
 
-def best_fit(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window number, offset) of each size, given from large to small; each goes where least room stays."""
-    room: list[list[int]] = [[] for _ in range(window + 1)]
+def best_fit(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Best fit decreasing of counts[length] pieces: (length, lo, hi, each, window, slot, offset) of runs of pieces.
+
+    Pieces lo to hi - 1 of a length go to windows from the given one on, so many to each, from a slot and offset on.
+    A piece goes to the open window with the least room that it fits, so a window takes as many of a length as it holds.
+    Windows that hold the same stay one run of numbers: the work is by runs, not by pieces.
+    """
+    room: dict[int, list[tuple[int, int, int]]] = {}  # room: runs (first window, windows, slots used)
     open_: list[int] = []
-    where, offset, n = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
-    for i, s in enumerate(sizes.tolist()):
-        k = bisect.bisect_left(open_, s)
-        if k == len(open_):
-            w, free = n, window
-            n += 1
-        else:
-            free = open_[k]
-            w = room[free].pop()
-            if not room[free]:
-                open_.pop(k)
-        where[i], offset[i] = w, window - free
-        if free > s:
-            if not room[free - s]:
-                bisect.insort(open_, free - s)
-            room[free - s].append(w)
-    return where, offset
-
-
-def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, group: int = GROUP, vocabulary: str = VOCABULARY, folder: str = tokens.TOKENIZERS) -> DataFrame:
+    plan, windows = [], 0
+
+    def put(free: int, run: tuple[int, int, int]) -> None:
+        if run[1] and free:
+            if free not in room:
+                room[free] = []
+                bisect.insort(open_, free)
+            room[free].append(run)
+
+    for length in sorted(counts, reverse=True):
+        done, n = 0, counts[length]
+        while done < n:
+            k = bisect.bisect_left(open_, length)
+            if k < len(open_):
+                free = open_[k]
+                first, many, slot = room[free].pop()
+                if not room[free]:
+                    del room[open_.pop(k)]
+            else:
+                free, slot, first, many = window, 0, windows, -(-(n - done) // (window // length))
+                windows += many
+            each = free // length
+            full = min(many, (n - done) // each)
+            if full:
+                plan.append((length, done, done + full * each, each, first, slot, window - free))
+                put(free - each * length, (first, full, slot + each))
+                done += full * each
+            rest = n - done
+            if rest and full < many:  # the last pieces of the length
+                plan.append((length, done, n, rest, first + full, slot, window - free))
+                put(free - rest * length, (first + full, 1, slot + rest))
+                done, full = n, full + 1
+            put(free, (first + full, many - full, slot))
+    return plan
+
+
+def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, vocabulary: str = VOCABULARY, folder: str = tokens.TOKENIZERS) -> DataFrame:
     """One row for each piece of a document: the window it goes to, its place there, and its tokens' range."""
     spark = docs.sparkSession
     bins = -(-window // grain)
     counted = lengths(docs, vocabulary, folder).where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id())
     kept = common.checkpoint(counted)
     rest = kept.withColumn("length", (F.col("n_tokens") % window).cast("int")).where("length > 0").withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
-    parts = max(1, -(-rest.count() // PART))
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)))
-    counts = common.checkpoint(rest.groupBy("bin", "part").count())
-    histogram = np.zeros(bins, np.int64)
-    for b, n in counts.groupBy("bin").agg(F.sum("count")).collect():  # one row a bin
-        histogram[b - 1] = n
-    allotted, used, base = [], np.zeros(bins + 1, np.int64), 0
-    for k, (combo, n) in enumerate(solve(histogram, depth) if histogram.any() else []):
+    ranked, histogram = _numbered(rest, "bin")
+    allotted, used = [], np.zeros(bins + 1, np.int64)
+    supply = np.array([histogram.get(b, 0) for b in range(1, bins + 1)], np.int64)
+    for k, (combo, n) in enumerate(solve(supply, depth) if supply.any() else []):
         offset = slot = 0
         for b in sorted(set(combo)):
             m = combo.count(b)
             allotted.append((b, int(used[b]), int(used[b]) + n * m, m, k, slot, offset))
             used[b] += n * m
             slot, offset = slot + m, offset + m * b * grain
-        base += n
-    plan = spark.createDataFrame(allotted, "a_bin int, lo long, hi long, m int, combo int, slot0 int, offset0 int")
-    before = counts.select("bin", "part", (F.sum("count").over(Window.partitionBy("bin").orderBy("part")) - F.col("count")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("bin", "part").orderBy("doc_id", "row")) - 1
-    ranked = rest.join(before, ["bin", "part"]).withColumn("rank", number + F.col("before"))
-    placed = ranked.join(F.broadcast(plan), (F.col("bin") == F.col("a_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
-    placed = common.checkpoint(placed.select("row", "doc_id", "n_tokens", "length", "bin", "rank", "lo", "m", "combo", "slot0", "offset0"))
+    plan = spark.createDataFrame(allotted, "key int, lo long, hi long, m int, combo int, slot0 int, offset0 int")
+    placed = common.checkpoint(_placed(ranked, "bin", plan).select("row", "doc_id", "n_tokens", "length", "bin", "rank", "lo", "m", "combo", "slot0", "offset0"))
     at, copy = F.expr("(rank - lo) div m"), F.expr("cast((rank - lo) % m as int)")
     start = F.col("n_tokens") - F.col("length")
     combined = placed.where("combo is not null").select(
@@ -159,18 +172,28 @@ def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int =
     )
     full = kept.where(F.col("n_tokens") >= window).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"cast(n_tokens div {window} - 1 as int)"))))
     full = full.select(F.concat_ws("-", F.lit("f"), "row", "k").alias("window_id"), F.lit(0).alias("slot"), F.lit(0).alias("offset"), "doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).alias("length"))
-    left = placed.where("combo is null").select("row", "doc_id", start.alias("start"), "length")
-    groups = max(1, -(-left.count() // group))
+    left, counts = _numbered(placed.where("combo is null").select("row", "doc_id", "n_tokens", "length"), "length")
+    plan = spark.createDataFrame(best_fit(counts, window), "key int, lo long, hi long, m int, first long, slot0 int, offset0 int")
+    greedily = _placed(left, "length", plan).select(
+        F.concat_ws("-", F.lit("r"), F.col("first") + at).alias("window_id"), (F.col("slot0") + copy).alias("slot"), (F.col("offset0") + copy * F.col("length")).alias("offset"), "doc_id", start.alias("start"), "length"
+    )
+    return combined.unionByName(full).unionByName(greedily)
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "row"], ascending=[False, True, True], kind="stable")
-        where, offset = best_fit(pdf["length"].to_numpy(), window)
-        slot = pd.Series(where).groupby(where).cumcount().to_numpy()
-        name = "r-" + str(pdf["g"].iloc[0]) + "-" + pd.Series(where).astype(str)
-        return pd.DataFrame({"window_id": name.to_numpy(), "slot": slot, "offset": offset, "doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "start": pdf["start"].to_numpy(), "length": pdf["length"].to_numpy()})
 
-    greedily = left.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("g").applyInPandas(greedy, SCHEMA)
-    return combined.unionByName(full).unionByName(greedily)
+def _numbered(pieces: DataFrame, key: str) -> tuple[DataFrame, dict[int, int]]:
+    """pieces with their rank among those of the key, from 0, by (part, doc_id, row); and the number of each key."""
+    parts = max(1, -(-pieces.count() // PART))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)))
+    counts = common.checkpoint(pieces.groupBy(key, "part").count())
+    totals = {k: n for k, n in counts.groupBy(key).agg(F.sum("count")).collect()}  # one row a bin or length
+    before = counts.select(key, "part", (F.sum("count").over(Window.partitionBy(key).orderBy("part")) - F.col("count")).alias("before"))
+    number = F.row_number().over(Window.partitionBy(key, "part").orderBy("doc_id", "row")) - 1
+    return pieces.join(before, [key, "part"]).withColumn("rank", number + F.col("before")), totals
+
+
+def _placed(ranked: DataFrame, key: str, plan: DataFrame) -> DataFrame:
+    """ranked with the run of the plan that its rank falls into; the plan is as small as the window."""
+    return ranked.join(F.broadcast(plan), (F.col(key) == F.col("key")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
