@@ -14,7 +14,8 @@ ignored). copies is the greatest number of times a window in the run occurs in t
 a window that occurs nowhere earlier, by (document row, position), so a run with first = false can go.
 
 Defined cases: null, empty and short texts have no window; a null doc_id is kept as null; each row of a repeated
-document counts as a document; overlapping repeats within one document count too; other columns are ignored.
+document counts as a document; overlapping repeats within one document count too; other columns are ignored; a single
+text of more than 2^28 words, which no Arrow batch can hold, is an error.
 """
 
 from __future__ import annotations
@@ -72,6 +73,8 @@ def _emit(docs: DataFrame, depth: int, digit: int) -> DataFrame:
         parts = []
         rows = b.column("row")
         for row, start, key, _, full, bounds in rows_of(b.column("text"), depth, digit):
+            if bounds[-1] >= 1 << 28:
+                raise ValueError("a text of more than 2^28 words")
             blob = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(full)])
             take = pa.array(row)
             parts.append(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(take), rows.take(take), pa.array(start.astype(np.int32)), blob], ["key", "doc_id", "row", "at", "windows"]))
@@ -146,7 +149,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFram
     rows = _emit(common.text_of(docs).withColumn("row", F.monotonically_increasing_id()), depth, digit)
     rows = rows.repartition("key").sortWithinPartitions("key")
     schema = "doc_id long, row long, lo long, hi long, copies long, first boolean"
-    runs = rows.mapInArrow(_sorted_buckets, schema)
+    runs = common.map_arrow(rows, _sorted_buckets, schema)
     w = "partition by row, doc_id order by lo, hi"
     joined = runs.withColumn("brk", F.expr(f"case when lo <= lag(hi) over ({w}) then 0 else 1 end")).withColumn("g", F.expr(f"sum(brk) over ({w})"))
     spans = joined.groupBy("row", "doc_id", "g").agg(F.min("lo").alias("start"), (F.max("hi") + depth - 1).alias("end"), F.max("copies").alias("copies"), F.max("first").alias("first"))

@@ -16,7 +16,9 @@ payload that no longer fits its digest, is an error.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +69,35 @@ def records_of_raw(raw: DataFrame) -> DataFrame:
     return common.each_batch(raw.select(F.col("record_id").cast("long").alias("record_id"), F.col("raw").cast("binary").alias("raw")), batch, RECORDS)
 
 
+def split_file(data: bytes) -> Iterator[bytes]:
+    """The records of a WARC file, whole; members compressed with gzip are unpacked. Joined they are the unpacked file."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        stop = len(data)
+        if end >= 0:
+            length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", data[at : end + 2])
+            stop = min(end + 4 + int(length[1]) if length else end + 4, len(data))
+            while data[stop : stop + 1] in (b"\r", b"\n") and stop < len(data):
+                stop += 1
+        yield data[at:stop]
+        at = stop
+
+
+def records_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, header, payload, trailer) of all records of WARC files; ids are hashes of (file, place). A task holds a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(f"{p}:{i}", raw) for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for i, raw in enumerate(split_file(data or b""))]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["name", "raw"])
+
+    raw = common.each_batch(files, batch, "name string, raw binary")
+    return records_of_raw(raw.select(F.xxhash64("name").alias("record_id"), "raw"))
+
+
 def _packed(records: DataFrame) -> DataFrame:
     def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
         import zstandard
@@ -84,6 +115,9 @@ def _packed(records: DataFrame) -> DataFrame:
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of digest, the first of each; the others must have its bytes."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     last, bytes_ = None, b""
     for b in batches:
         digests, packed = b.column("digest").to_pylist(), b.column("packed")
@@ -93,7 +127,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d != last:
                 keep.append(i)
                 last, bytes_ = d, p
-            elif p != bytes_:
+            elif p != bytes_ and unpack(p) != unpack(bytes_):  # workers of other versions may pack the same bytes otherwise
                 raise ValueError(f"payloads of digest {d.hex()} differ")
         if keep:
             yield b.take(pa.array(keep))
@@ -102,7 +136,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(records: DataFrame, path: str) -> None:
     """Writes path/payloads, each payload once, and path/headers."""
     packed = _packed(records).repartition("digest").sortWithinPartitions("digest")
-    packed.mapInArrow(_once, "digest binary, packed binary").write.option("compression", "uncompressed").parquet(f"{path}/payloads")
+    common.map_arrow(packed, _once, "digest binary, packed binary").write.option("compression", "uncompressed").parquet(f"{path}/payloads")
     digest = F.unhex(F.sha2(F.coalesce("payload", F.lit("").cast("binary")), 256)).alias("digest")
     records.select("record_id", "header", "trailer", digest).write.parquet(f"{path}/headers")
 
