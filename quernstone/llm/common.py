@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +15,9 @@ from pyspark.sql.window import Window
 
 #: A side of a join is broadcast only when its rows, counted first, need no more than this.
 BROADCAST_BYTES = 64 << 20
+#: Of a batch of texts on its way to Python; the JVM and the worker each hold a few of them.
+BATCH_BYTES = 8 << 20
+_LIMIT, _SPARKS = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +58,31 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, in batches of BATCH_BYTES where the session has Spark's own limit; workers give memory back after a task."""
+    spark = df.sparkSession
+    if spark.conf.get(_LIMIT, _SPARKS) == _SPARKS:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns what the allocators keep for later to the system, so that idle workers are small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def each_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """One pass over df in Arrow batches. fn gets a batch and returns one or none."""
 
@@ -61,7 +91,7 @@ def each_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def text_of(df: DataFrame) -> DataFrame:

@@ -169,8 +169,8 @@ def _members(docs: DataFrame, distance: int, per_edit: int) -> DataFrame:
                 new = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                 yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(a[new]), pa.array(b[new])], ["bucket", "a", "b"])
 
-    rows = common.text_of(docs).select("text").mapInArrow(batches_of, "bucket long, a long, b long, own boolean")
-    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket long, a long, b long")
+    rows = common.map_arrow(common.text_of(docs).select("text"), batches_of, "bucket long, a long, b long, own boolean")
+    met = common.map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket"), meet, "bucket long, a long, b long")
     return met.select("bucket", F.struct("a", "b").alias("v"))
 
 
@@ -230,7 +230,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, distance: int, per_edit: int) ->
                 take = pa.array(np.array(rows)[ok])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("a1", "b1", "a2", "b2")), pa.array(1 - found[ok] / np.maximum(xn, yn)[ok])], ["a1", "b1", "a2", "b2", "similarity"])
 
-    near = sent.mapInArrow(compare, "a1 long, b1 long, a2 long, b2 long, similarity double")
+    near = common.map_arrow(sent, compare, "a1 long, b1 long, a2 long, b2 long, similarity double")
     return near.select(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")).alias("v"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("u"), "similarity")
 
 

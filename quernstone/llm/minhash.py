@@ -102,7 +102,7 @@ def document_frequencies(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.nd
 
     schema = "slice int, counts binary"
     df, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
-    summed = docs.select("text").mapInArrow(count, schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(add, schema)
+    summed = common.map_arrow(common.map_arrow(docs.select("text"), count, schema).repartition("slice").sortWithinPartitions("slice"), add, schema)
     rows = summed.toArrow()  # 1025 rows at most
     for i, counts in zip(rows["slice"].to_pylist(), rows["counts"].to_pylist(), strict=True):
         if i < 0:
@@ -220,7 +220,7 @@ def _verify(docs: DataFrame, edges: DataFrame, idf, shingle: int, threshold: flo
                 take = pa.array([i for i, _ in out])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("a1", "a2", "b1", "b2")), pa.array([s for _, s in out])], ["a1", "a2", "b1", "b2", "similarity"])
 
-    return sent.mapInArrow(compare, "a1 long, a2 long, b1 long, b2 long, similarity double").dropDuplicates(["a1", "a2", "b1", "b2"])
+    return common.map_arrow(sent, compare, "a1 long, a2 long, b1 long, b2 long, similarity double").dropDuplicates(["a1", "a2", "b1", "b2"])
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

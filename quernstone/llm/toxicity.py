@@ -257,7 +257,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["i", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    rows = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # one row a term
+    rows = common.map_arrow(docs.select("text"), count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # one row a term
     out[rows["i"].to_numpy()] = rows["n"].to_numpy()
     bc.unpersist()
     return out[:-1], int(out[-1])
