@@ -2,7 +2,8 @@
 contaminated documents go, and what is left is packed into windows.
 
 Every stage works on all that the stage before it kept. run() writes each stage's result as Parquet in the shared folder
-and reads it back, which also cuts the lineage: a lost executor costs the work of one stage. All stages but the last
+and reads it back, which also cuts the lineage: a lost executor costs the work of one stage. A stage's folder is deleted
+when the next one is written. All stages but the last
 return the columns of the documents. A document of the line stage keeps its id and gets the length of its new text.
 No stage can be told in SQL alone (neighbours by weighted votes, edit distances, sampling, least squares), so the tests
 hold the stages against brute force.
@@ -53,9 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the last one's rows."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = common.new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs
