@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STOPWORDS = frozenset(
-    "a an and are as at be by can do does for from get has have how i if in into is it its of on or our set so that the their then there this to use used using via was we what when where which with".split()
+    "a add all an and as at be by can code do does fix for from function get how i in into is it make method of on or set should that the this to use using via we what when where with".split()
 )
 LANGUAGES = {
     "rust": "rs", "python": "py pyi pyw", "javascript": "js mjs cjs jsx", "typescript": "ts mts cts", "tsx": "tsx", "go": "go", "java": "java", "c": "c h",
@@ -83,18 +83,19 @@ def task_terms(task: str) -> list[str]:
     return out
 
 
-PRIORITY_KINDS = ("function", "method", "class", "struct", "trait", "interface", "enum", "type")
+#: Kinds of definitions that stand for a whole piece of code.
+PRIORITY_KINDS = ("class", "constructor", "enum", "function", "interface", "method", "module", "struct", "trait", "type")
 
 
 def lexical_score(name: Column, kind: Column, signature: Column, container: Column, path: Column, terms: list[str]) -> Column:
     """Sum over terms of 20 equal name, 12 part of it, 6 substring; 4 container part, 3 signature, 2 path; 2 for a main kind."""
     total = F.lit(0.0)
-    low, parts, held = F.lower(name), split_identifier(name), split_identifier(F.coalesce(container, F.lit("")))
+    low, parts, held = ascii_lower(name), split_identifier(name), split_identifier(F.coalesce(container, F.lit("")))
     for t in terms:
         total = total + F.when(low == t, 20.0).when(F.array_contains(parts, t), 12.0).when(low.contains(t), 6.0).otherwise(0.0)
         total = total + F.when(F.array_contains(held, t), 4.0).otherwise(0.0)
-        total = total + F.when(F.lower(F.coalesce(signature, F.lit(""))).contains(t), 3.0).otherwise(0.0)
-        total = total + F.when(F.lower(path).contains(t), 2.0).otherwise(0.0)
+        total = total + F.when(ascii_lower(F.coalesce(signature, F.lit(""))).contains(t), 3.0).otherwise(0.0)
+        total = total + F.when(ascii_lower(path).contains(t), 2.0).otherwise(0.0)
     return total + F.when((total > 0) & kind.isin(*PRIORITY_KINDS), 2.0).otherwise(0.0)
 
 
@@ -107,15 +108,23 @@ def stem(word: Column) -> Column:
     return cases.otherwise(out)
 
 
+_CASE_BREAK = r"(?<=[\p{IsLowercase}\p{N}])(?=\p{IsUppercase})"
+
+
 def semantic_tokens(text: Column) -> Column:
-    """Parts of each word of letters, digits and _ (two bytes at least), then the whole word, all in lower case."""
-    words = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    """Of each word of letters, digits and _: its parts, cut at _ and at changes of case, then the word itself, in lower case.
 
-    def of(w: Column) -> Column:
-        parts = F.filter(split_identifier(w), lambda p: (F.octet_length(p) >= 2) & (p != F.lower(w)))
-        return F.concat(parts, F.filter(F.array(F.lower(w)), lambda p: F.octet_length(p) >= 2))
+    Tokens of one byte are left out; a word of one part counts twice. Breaks of case are marked in the whole text first,
+    so that only words that have one are cut.
+    """
+    words = F.filter(F.split(F.regexp_replace(text, _CASE_BREAK, "\x01"), r"[^\p{L}\p{N}_\x01]+"), lambda w: w != "")
+    return F.filter(F.flatten(F.transform(words, _parts_and_whole)), lambda p: F.octet_length(p) >= 2)
 
-    return F.flatten(F.transform(words, of))
+
+def _parts_and_whole(marked: Column) -> Column:
+    low = F.lower(marked)
+    cut = F.concat(F.split(low, "[_\x01]"), F.array(F.replace(low, F.lit("\x01"), F.lit(""))))
+    return F.when(low.contains("_") | low.contains("\x01"), cut).otherwise(F.array(low, low))
 
 
 def cut_bytes(text: Column, most: int) -> Column:
@@ -155,30 +164,43 @@ def l2_normalize(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x / norm)).otherwise(a)
 
 
-STRUCTURAL_DIRS = frozenset("src lib libs app apps pkg packages crates cmd internal core main test tests spec docs examples example include dist build out bin scripts tools util utils common shared modules module components vendor third_party".split())
+#: Folders that say nothing about what the code in them is for.
+STRUCTURAL_DIRS = frozenset("__mocks__ __tests__ app apps assets build common component components controller controllers core data demo dist example examples fixtures gen generated handler handlers helper helpers i18n include includes internal lib libs locale locales main middleware middlewares migrations mocks model models module modules node_modules out packages pkg public report reports router routes security service services shared spec specs src static target test tests util utils vendor view views wizard wizards".split())
+#: Files that are named for their folder.
 BARE_NAMES = frozenset("index mod __init__ main lib".split())
 
 
 def path_tokens(path: Column) -> Column:
-    """Parts of the telling components of a path."""
-    parts = F.transform(F.split(path, "/"), lambda p: F.regexp_replace(p, r"\.[^.]*$", ""))
-    telling = F.filter(parts, lambda p: ~F.lower(p).isin(*sorted(STRUCTURAL_DIRS | BARE_NAMES)))
-    return F.array_distinct(F.filter(F.flatten(F.transform(telling, split_identifier)), lambda t: F.octet_length(t) >= 2))
+    """Tokens of the telling components of a path without its extension: folders but the structural ones, and the file."""
+    parts = F.split(F.when(path.contains("."), F.regexp_extract(path, r"(?s)^(.*)\.", 1)).otherwise(path), "/")
+    file = F.element_at(parts, -1)
+    folders = F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: ~ascii_lower(p).isin(*sorted(STRUCTURAL_DIRS)))
+    telling = F.concat(folders, F.filter(F.array(file), lambda p: ~ascii_lower(p).isin(*sorted(BARE_NAMES))))
+    marked = F.transform(telling, lambda p: F.regexp_replace(p, _CASE_BREAK, "\x01"))
+    return F.filter(F.flatten(F.transform(marked, _parts_and_whole)), lambda t: F.octet_length(t) >= 2)
 
 
-#: (penalty, pieces of a lower-case path of which any counts).
+#: (penalty, pieces of a lower-case path of which any counts, its endings, beginnings of its file).
 NOISE = (
-    (0.040, ("test", ".spec.", "__tests__")), (0.012, ("legacy", "deprecated")), (0.016, (".min.", "/vendor/", "/lib/", ".d.ts")), (0.010, ("/static/", ".css")),
-    (0.045, ("/i18n/", "/locale/", "/locales/")), (0.050, ("/docs/", ".md", ".rst")), (0.022, (".json", ".yaml", ".yml", ".toml", ".ini")), (0.030, ("license", "licence")),
-)
+    (0.040, ("/test", "test/", "__tests__", ".test.", ".spec.", "/spec/"), (), ()),
+    (0.012, ("/compat/", "/examples/", "/legacy/"), (), ()),
+    (0.016, ("/lib/", "/vendor/", ".min."), (".d.ts",), ()),
+    (0.010, ("/static/",), (".css",), ()),
+    (0.045, ("/i18n/",), (".po", ".pot"), ()),
+    (0.050, ("/doc/", "/docs/", "/documentation/", "/readme", "/website/"), (".adoc", ".markdown", ".md", ".mdown", ".mdx", ".rdoc", ".rst", ".txt"), ()),
+    (0.022, (), (".cfg", ".csv", ".ini", ".toml", ".xml", ".yaml", ".yml"), ()),
+    (0.030, (), (), ("authors", "changelog", "copying", "license", "notice")),
+)
 
 
 def noise_penalty(path: Column) -> Column:
-    low, total = F.lower(path), F.lit(0.0)
-    for amount, pieces in NOISE:
+    """What tests, examples, vendored and generated code, catalogs, prose, data and legal files lose in a ranking."""
+    low, total = ascii_lower(path), F.lit(0.0)
+    file = F.substring_index(low, "/", -1)
+    for amount, pieces, endings, beginnings in NOISE:
         hit = F.lit(False)
-        for p in pieces:
-            hit = hit | low.contains(p)
+        for test in [*map(low.contains, pieces), *map(low.endswith, endings), *map(file.startswith, beginnings)]:
+            hit = hit | test
         total = total + F.when(hit, amount).otherwise(0.0)
     return total
 

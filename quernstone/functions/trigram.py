@@ -1,33 +1,74 @@
 """Trigrams of bytes: extraction, plans from patterns, and the table of postings.
 
 A plan is an AND of alternatives, each an OR of AND-groups of trigrams (six hex digits). It may only widen the set of
-documents. A scan with contains or rlike is already right; the table is an accelerator.
+documents. A scan with contains or rlike is already right; the table, which an index keeps in order of trigram, is an
+accelerator. In it a trigram is an integer, its three bytes from high to low.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import regexlang
 
 Plan = list[list[list[str]]]
 RAREST = 4
+_BYTES = 4 << 20
 
 
 def of(data: bytes) -> list[str]:
     return sorted({data[i : i + 3].hex() for i in range(len(data) - 2)})
 
 
-def extract(text: Column) -> Column:
-    """Distinct trigrams of a text's bytes, in order."""
-    raw, n = F.encode(text, "UTF-8"), F.octet_length(text)
-    steps = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    # the bytes are bound to a variable; else they would be encoded again at every step
-    some = F.flatten(F.transform(F.array(raw), lambda r: F.transform(steps, lambda i: F.lower(F.hex(F.substring(r, i, F.lit(3)))))))
-    some = F.array_distinct(some)
-    return F.when(n >= 3, F.array_sort(some)).otherwise(F.array().cast("array<string>"))
+def number(gram: str) -> int:
+    return int(gram, 16)
+
+
+def name(tri: Column) -> Column:
+    """Six hex digits of a trigram of the table."""
+    return F.lower(F.lpad(F.hex(tri), 6, "0"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tri) of the distinct trigrams of each text of (doc_id, text), in order, a few MB of text at a time."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = pc.fill_null(b.column("text"), "")
+        offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(col):
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + _BYTES, "right")) - 1)
+            x = data[offs[lo] : offs[hi]].astype(np.int64)
+            if len(x) >= 3:
+                row = np.repeat(np.arange(hi - lo), np.diff(offs[lo : hi + 1]))
+                key = (row[:-2] << 24) | (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+                key = np.unique(key[row[:-2] == row[2:]])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(lo + (key >> 24))), pa.array((key & 0xFFFFFF).astype(np.int32))], ["doc_id", "tri"])
+            lo = hi
+
+
+def extract(docs: DataFrame) -> DataFrame:
+    """(doc_id, trigrams): the distinct trigrams of each text, in order; an empty list for a text of under three bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column("text")], ["doc_id", "text"])
+            parts = list(_pairs(iter([numbered])))
+            row = np.concatenate([p.column(0).to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
+            tri = np.concatenate([p.column(1).to_numpy() for p in parts]) if parts else np.empty(0, np.int32)
+            offs = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(tri))], ["doc_id", "tris"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tris array<int>")
+    return found.select("doc_id", F.transform("tris", name).alias("trigrams"))
 
 
 def literal_plan(needle: str) -> Plan:
@@ -55,7 +96,7 @@ def regex_plan(pattern: str, ignore_case: bool = False) -> Plan:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(tri, doc_id): written in order of tri, row-group statistics are the dictionary of terms."""
-    return docs.select("doc_id", F.explode(extract(F.col("text"))).alias("tri")).select("tri", "doc_id")
+    return docs.select("doc_id", "text").mapInArrow(_pairs, "doc_id long, tri int").select("tri", "doc_id")
 
 
 def stats(posts: DataFrame) -> DataFrame:
@@ -75,14 +116,15 @@ def group(posts: DataFrame, frequencies: dict[str, int], grams: list[str]) -> Da
     """Documents that hold the rarest four of the trigrams; none if the index lacks one."""
     if any(g not in frequencies for g in grams):
         return posts.select("doc_id").limit(0)
-    rare = sorted(grams, key=lambda g: (frequencies[g], g))[:RAREST]
+    rare = [number(g) for g in sorted(grams, key=lambda g: (frequencies[g], g))[:RAREST]]
     return posts.where(F.col("tri").isin(rare)).groupBy("doc_id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(rare)).select("doc_id")
 
 
 def candidates(posts: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Documents that the plan admits; all of docs for an empty plan."""
     wanted = {g for alternatives in plan for grams in alternatives for g in grams}
-    frequencies = {r.tri: r.df for r in stats(posts.where(F.col("tri").isin(sorted(wanted)))).collect()} if wanted else {}  # a row for each trigram of the plan
+    counted = stats(posts.where(F.col("tri").isin(sorted(map(number, wanted))))).collect() if wanted else []  # a row for each trigram of the plan
+    frequencies = {f"{r.tri:06x}": r.df for r in counted}
     out = docs
     for alternatives in plan:
         ids = None

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SYMBOLS = "doc_id long, sym_idx int, name string, kind string, line_start int, line_end int, container string, signature string"
@@ -217,11 +218,14 @@ def _bind(name: str, n, found: dict) -> bool:
 def match_python(pattern: str, text: str) -> list[tuple[int, int, str, str, list[tuple[str, str, int]]]]:
     """(first line, last line, kind, text, captures) of every node of Python source that fits the pattern."""
     want, _ = _meta(pattern)
-    out = []
+    raw, out = text.encode(), []
+    at = [0]
+    for line in re.split(rb"(?<=\n)|(?<=\r)(?!\n)", raw):
+        at.append(at[-1] + len(line))
     for node in ast.walk(ast.parse(text)):
         found: dict = {}
         if isinstance(node, ast.stmt | ast.expr) and _unify(want, node, found):
-            out.append((node.lineno, node.end_lineno, type(node).__name__, ast.get_source_segment(text, node) or "", [(k, v[0], v[1] or node.lineno) for k, v in sorted(found.items())]))
+            out.append((node.lineno, node.end_lineno, type(node).__name__, raw[at[node.lineno - 1] + node.col_offset : at[node.end_lineno - 1] + node.end_col_offset].decode(), [(k, v[0], v[1] or node.lineno) for k, v in sorted(found.items())]))
     return sorted(out, key=lambda x: x[:3])
 
 
@@ -245,7 +249,7 @@ def match_text(pattern: str, text: str) -> list[tuple[int, int, str, str, list[t
     return out
 
 
-STRUCT = "doc_id long, line_start int, line_end int, kind string, text string, captures array<struct<name:string,text:string,line:int>>"
+STRUCT = "path string, line_start int, line_end int, kind string, text string, captures array<struct<name:string,text:string,line:int>>"
 
 
 def structural(docs: DataFrame, pattern: str, lang: str, limit: int | None = 50, offset: int = 0) -> DataFrame:
@@ -257,18 +261,23 @@ def structural(docs: DataFrame, pattern: str, lang: str, limit: int | None = 50,
     if anchors:
         d = d.where(F.col("text").contains(anchors[-1]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        captures = pa.list_(pa.struct([("name", pa.string()), ("text", pa.string()), ("line", pa.int32())]))
+        kinds = {"path": pa.string(), "line_start": pa.int32(), "line_end": pa.int32(), "kind": pa.string(), "text": pa.string(), "captures": captures}
+        for b in batches:
+            cols: dict[str, list] = {k: [] for k in kinds}
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
                 try:
                     found = match_python(pattern, text) if lang == "python" else match_text(pattern, text)
                 except (SyntaxError, ValueError, RecursionError):
                     found = []
-                out += [(doc_id, *x[:4], [dict(zip(("name", "text", "line"), c, strict=True)) for c in x[4]]) for x in found]
-            yield pd.DataFrame(out, columns=["doc_id", "line_start", "line_end", "kind", "text", "captures"])
+                for first, last, kind, part, names in found:
+                    row = (path, first, last, kind, part, [dict(zip(("name", "text", "line"), c, strict=True)) for c in names])
+                    for k, v in zip(kinds, row, strict=True):
+                        cols[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in kinds.items()], list(kinds))
 
-    rows = d.select("doc_id", "text").mapInPandas(run, STRUCT).join(docs.select("doc_id", "path", "lang"), "doc_id")
+    rows = d.select("path", "text").mapInArrow(run, STRUCT).withColumn("lang", F.lit(lang))
     rows = rows.orderBy("path", "line_start", "line_end").offset(offset)
     return (rows if limit is None else rows.limit(limit)).select("path", "lang", "line_start", "line_end", "kind", "text", "captures")
 

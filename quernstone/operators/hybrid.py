@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-K1, B, TOP, RRF = 1.2, 0.75, 200, 60
+K1, B, TOP, RRF, MIN_OWN = 1.2, 0.75, 200, 60, 3
 
 
-def own_lines(symbols: DataFrame) -> DataFrame:
-    """(doc_id, sym_idx, line): lines of each symbol that no symbol strictly within it covers."""
-    s = symbols.select("doc_id", "sym_idx", "line_start", "line_end")
-    inner = s.select("doc_id", F.col("sym_idx").alias("i"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
-    within = (F.col("a") >= F.col("line_start")) & (F.col("b") <= F.col("line_end")) & (F.col("b") - F.col("a") < F.col("line_end") - F.col("line_start"))
-    held = s.join(inner, "doc_id").where(within).groupBy("doc_id", "sym_idx").agg(F.collect_list(F.sequence("a", "b")).alias("h"))
-    rows = s.join(held, ["doc_id", "sym_idx"], "left").withColumn("line", F.array_except(F.sequence("line_start", "line_end"), F.coalesce(F.flatten("h"), F.array().cast("array<int>"))))
-    return rows.select("doc_id", "sym_idx", F.explode("line").alias("line"))
+def own_intervals(symbols: DataFrame) -> DataFrame:
+    """(doc_id, sym_idx, line_start, line_end): runs of the lines of each symbol that no symbol strictly within it covers.
 
+    The symbols of a document meet in one row, in order of their first lines; each is folded over those within it.
+    """
+    end = F.greatest("line_start", "line_end")
+    held = symbols.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_start").alias("a"), end.alias("b"), "sym_idx"))).alias("all"))
+    rows = held.select("doc_id", "all", F.explode("all").alias("s"))
+    inner = F.filter("all", lambda o: (o["a"] >= F.col("s.a")) & (o["b"] <= F.col("s.b")) & (o["b"] - o["a"] < F.col("s.b") - F.col("s.a")))
+    start = F.struct(F.col("s.a").alias("at"), F.array().cast("array<struct<line_start:int,line_end:int>>").alias("out"))
 
-def own_intervals(symbols: DataFrame) -> DataFrame:
-    """(doc_id, sym_idx, line_start, line_end): runs of own lines."""
-    island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id", "sym_idx").orderBy("line"))
-    return own_lines(symbols).withColumn("g", island).groupBy("doc_id", "sym_idx", "g").agg(F.min("line").alias("line_start"), F.max("line").alias("line_end")).drop("g")
+    def run(a: Column, b: Column) -> Column:
+        return F.array(F.struct(a.cast("int").alias("line_start"), b.cast("int").alias("line_end")))
+
+    def step(acc: Column, o: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], o["b"] + 1).alias("at"), F.when(o["a"] > acc["at"], F.concat(acc["out"], run(acc["at"], o["a"] - 1))).otherwise(acc["out"]).alias("out"))
+
+    found = F.aggregate(inner, start, step, lambda acc: F.when(acc["at"] <= F.col("s.b"), F.concat(acc["out"], run(acc["at"], F.col("s.b")))).otherwise(acc["out"]))
+    return rows.select("doc_id", F.col("s.sym_idx").alias("sym_idx"), F.explode(found).alias("i")).select("doc_id", "sym_idx", "i.line_start", "i.line_end")
 
 
 def windows(start: Column, end: Column, size: int, overlap: int) -> Column:
@@ -36,29 +42,76 @@ def windows(start: Column, end: Column, size: int, overlap: int) -> Column:
 
 
 def symbol_chunks(symbols: DataFrame) -> DataFrame:
-    """(doc_id, name, kind, line_start, line_end): windows of 50 lines, overlapping by 8."""
-    w = symbols.select("doc_id", "sym_idx", "name", "kind", F.explode(windows(F.col("line_start"), F.col("line_end"), 50, 8)).alias("w"))
-    return w.select("doc_id", "sym_idx", "name", "kind", "w.line_start", "w.line_end")
+    """(doc_id, sym_idx, name, kind, line_start, line_end, signature): windows of 50 lines, overlapping by 8, of own lines.
+
+    What a symbol that holds others keeps between them is dropped where it has fewer than three lines. A signature goes
+    with the first window of each run.
+    """
+    whole = symbols.select("doc_id", "sym_idx", "name", "kind", "signature", F.col("line_start").alias("a"), F.greatest("line_start", "line_end").alias("b"))
+    own = own_intervals(symbols).join(whole, ["doc_id", "sym_idx"])
+    leaf = (F.col("line_start") == F.col("a")) & (F.col("line_end") == F.col("b"))
+    own = own.where(leaf | (F.col("line_end") - F.col("line_start") + 1 >= MIN_OWN))
+    w = own.select("doc_id", "sym_idx", "name", "kind", "signature", F.posexplode(windows(F.col("line_start"), F.col("line_end"), 50, 8)).alias("n", "w"))
+    return w.select("doc_id", "sym_idx", "name", "kind", "w.line_start", "w.line_end", F.when(F.col("n") == 0, F.col("signature")).alias("signature"))
 
 
 def file_chunks(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Chunks of files without symbols: windows of 80 lines, overlapping by 8, over the first 800."""
     bare = docs.where("lines > 0").join(symbols.select("doc_id").distinct(), "doc_id", "left_anti")
     w = bare.select("doc_id", T.file_stem(F.col("path")).alias("name"), F.explode(windows(F.lit(1), F.least("lines", F.lit(800)), 80, 8)).alias("w"))
-    return w.select("doc_id", F.lit(-1).alias("sym_idx"), "name", F.lit("file").alias("kind"), "w.line_start", "w.line_end")
+    return w.select("doc_id", F.lit(-1).alias("sym_idx"), "name", F.lit("file").alias("kind"), "w.line_start", "w.line_end", F.lit(None).cast("string").alias("signature"))
+
+
+def chunks(docs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, sym_idx, path, lang, name, kind, line_start, line_end, text, embedded).
+
+    text is what is counted: the path's words twice, the name three times, the signature, the lines. embedded has each
+    once. Windows past the end of a file are left out.
+    """
+    c = symbol_chunks(symbols).unionByName(file_chunks(docs, symbols)).join(docs.select("doc_id", "path", "lang", "lines", F.col("text").alias("_text")), "doc_id")
+    c = c.where(F.col("line_start") <= F.col("lines"))
+    ls = F.split("_text", r"\r?\n")
+    body = F.array_join(F.slice(ls, F.col("line_start"), F.least("line_end", "lines") - F.col("line_start") + 1), "\n")
+    told = F.array_join(T.path_tokens(F.col("path")), " ")
+    sig = F.coalesce("signature", F.lit(""))
+    key = F.xxhash64("doc_id", "sym_idx", "line_start").alias("chunk_id")
+    return c.select(key, "doc_id", "sym_idx", "path", "lang", "name", "kind", "line_start", "line_end", F.concat_ws(" ", told, told, "name", "name", "name", sig, body).alias("text"), F.concat_ws(" ", told, "name", sig, body).alias("embedded"))
+
+
+def stems(text: Column) -> Column:
+    return F.transform(T.semantic_tokens(text), T.stem)
 
 
 def terms(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(chunk_id, term, tf, dl)."""
-    stems = F.transform(T.semantic_tokens(F.col(text)), T.stem)
-    t = chunks.select("chunk_id", F.size(stems).alias("dl"), F.explode(stems).alias("term"))
+    """(chunk_id, term, tf, dl), the table that an index keeps."""
+    t = chunks.select("chunk_id", stems(F.col(text)).alias("stems")).select("chunk_id", F.size("stems").alias("dl"), F.explode("stems").alias("term"))
     return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(tf: DataFrame, query: list[str], top: int = TOP) -> DataFrame:
-    """(chunk_id, score) of the best chunks. df is counted for the query's terms alone; n and mean length over all chunks."""
-    size = tf.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    hit = tf.where(F.col("term").isin(query))
+def bm25(tf: DataFrame, query: list[str], top: int = TOP, size: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score) of the best chunks, from a table of terms. df is counted for the query's terms alone; n and mean length over all chunks.
+
+    size: one row (n, avgdl), where it is kept.
+    """
+    if size is None:
+        size = tf.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return _bm25(tf.where(F.col("term").isin(query)), size, top)
+
+
+def bm25_scan(chunks: DataFrame, query: list[str], top: int = TOP) -> DataFrame:
+    """As bm25, from the chunks' texts: one pass counts each chunk's length and the query's terms in it; no other term is shuffled."""
+
+    def count_of(t: str) -> Column:
+        return F.struct(F.lit(t).alias("term"), F.size(F.filter("stems", lambda x: x == t)).alias("tf"))
+
+    counts = [count_of(t) for t in query]
+    rows = chunks.select("chunk_id", stems(F.col("text")).alias("stems")).select("chunk_id", F.size("stems").alias("dl"), F.filter(F.array(*counts), lambda c: c["tf"] > 0).alias("hits"))
+    size = rows.where("dl > 0").agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    hit = rows.select("chunk_id", "dl", F.explode("hits").alias("h")).select("chunk_id", "dl", "h.term", "h.tf")
+    return _bm25(hit, size, top)
+
+
+def _bm25(hit: DataFrame, size: DataFrame, top: int) -> DataFrame:
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     x = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -84,38 +137,38 @@ def fuse(lexical: DataFrame, dense: DataFrame, w: tuple[float, float]) -> DataFr
 
 def rerank(fused: DataFrame, chunks: DataFrame, query: str, k: int = 20) -> DataFrame:
     """(path, name, line_start, score): best chunk of each file after boosts for names, paths and files with many hits."""
-    q = list(dict.fromkeys(t for t in T.task_terms(query)))
-    c = fused.join(chunks, "chunk_id")
-    names = F.array_intersect(F.array_distinct(F.transform(T.split_identifier(F.col("name")), T.stem)), F.array_distinct(F.transform(F.array(*[F.lit(t) for t in q]), T.stem)))
-    p = F.size(F.array_intersect(F.transform(T.path_tokens(F.col("path")), T.stem), F.transform(F.array(*[F.lit(t) for t in q]), T.stem)))
-    low, whole = F.lower(F.col("name")), query.lower()
-    made = F.col("kind") != "file"
-    boost = F.when(made & (low == whole), 0.030).when(made & (low.contains(whole) | F.lit(whole).contains(low)), 0.012).otherwise(0.0)
+    q = F.array_distinct(stems(F.lit(query)))
+    c = fused.join(chunks, "chunk_id").withColumn("q", q)
+    names = F.size(F.array_intersect("q", stems(F.col("name"))))
+    p = F.size(F.array_intersect("q", stems(F.array_join(T.path_tokens(F.col("path")), " "))))
+    low, whole = T.ascii_lower(F.col("name")), T.ascii_lower(F.lit(query))
+    boost = F.when(~F.col("kind").isin(*T.PRIORITY_KINDS), 0.0).when(low == whole, 0.030).when(low.contains(whole) | whole.contains(low), 0.012).otherwise(0.0)
     many = F.count("*").over(Window.partitionBy("path"))
-    score = F.col("score") + boost + 0.004 * F.size(names) + 0.012 * p * (0.5 + p / max(len(q), 1)) + 0.004 * F.log(many.cast("double")) - T.noise_penalty(F.col("path"))
+    told = F.when(F.size("q") > 0, 0.012 * p * (0.5 + p / F.size("q"))).otherwise(0.0)
+    score = F.col("score") + boost + 0.004 * names + told + 0.004 * F.log(many.cast("double")) - T.noise_penalty(F.col("path"))
     best = c.withColumn("s", F.round(score, 6)).withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("s"), "line_start", "chunk_id")))
     return best.where("rn = 1").orderBy(F.desc("s"), "path").limit(k).select("path", "name", "line_start", F.col("s").alias("score"))
 
 
-def hash_embedding(texts: DataFrame, dim: int = 256) -> DataFrame:
-    """(chunk_id, embedding): signed, sublinear hashed term counts of length one."""
+def hash_embedding(texts: DataFrame, dim: int = 256, text: str = "text") -> DataFrame:
+    """(chunk_id, embedding): signed, sublinear hashed term counts of length one. Distinct terms of a batch are hashed once."""
     if dim < 16:
         raise ValueError("dim must be 16 at least")
 
     def embed(batches):
         import xxhash
 
-        for pdf in batches:
-            out = []
-            for stems in pdf["stems"]:
-                v = np.zeros(dim)
-                for s in stems:
-                    h = xxhash.xxh3_64_intdigest(s)
-                    v[h % dim] += 1.0 if h >> 63 == 0 else -1.0
-                v = np.sign(v) * np.where(v != 0, 1 + np.log(np.maximum(np.abs(v), 1e-12)), 0)
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).astype(np.float32))
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "embedding": out})
-
-    stems = texts.select("chunk_id", F.transform(T.semantic_tokens(F.col("text")), T.stem).alias("stems"))
-    return stems.mapInPandas(embed, "chunk_id long, embedding array<float>")
+        for b in batches:
+            lists = b.column("stems")
+            coded = lists.flatten().dictionary_encode()
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            cell = row * dim + (h % np.uint64(dim)).astype(np.int64)
+            v = np.bincount(cell, np.where(h >> np.uint64(63), -1.0, 1.0), len(lists) * dim).reshape(-1, dim)
+            v = np.sign(v) * np.where(v != 0, 1 + np.log(np.maximum(np.abs(v), 1e-12)), 0)
+            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0).astype(np.float32)
+            offs = pa.array(np.arange(0, v.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.ListArray.from_arrays(offs, pa.array(v.ravel()))], ["chunk_id", "embedding"])
+
+    return texts.select("chunk_id", stems(F.col(text)).alias("stems")).mapInArrow(embed, "chunk_id long, embedding array<float>")

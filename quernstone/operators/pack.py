@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .. import shared
 from ..functions import text as T
 from . import callgraph
 
@@ -39,22 +40,28 @@ def expand(found: DataFrame, docs: DataFrame, symbols: DataFrame, refs: DataFram
 def pack(docs: DataFrame, symbols: DataFrame, refs: DataFrame, task: str, budget: int = 8000) -> DataFrame:
     """(rank, path, lang, name, kind, line_start, line_end, code, reason, score, cost, used_tokens, truncated).
 
-    Items that no longer fit are skipped, the first is always taken. Every item costs a token at least, so only the best
-    of as many as the budget has can matter beside those skipped; the fold is over one row of (rank, cost).
+    Items are taken best first; one that no longer fits is skipped, the first is always taken; rank counts those taken.
+    Once an item of some cost is skipped, so are all later ones of that cost, and budget // cost of them fill the budget.
+    So only the first and the best budget // cost of each cost are folded: about budget * ln(budget) rows whatever the
+    number of candidates. Texts are read for costs alone, and again for the items taken.
     """
-    found = expand(candidates(docs, symbols, refs, task), docs, symbols, refs)
-    ls = F.split("text", "\n")
-    code = F.array_join(F.slice(ls, F.col("line_start"), F.least(F.col("line_end"), F.col("line_start") + EXTRA_LINES) - F.col("line_start") + 1), "\n")
-    items = found.join(docs.select("doc_id", "text"), "doc_id").withColumn("code", code).drop("text")
-    cost = F.greatest(F.lit(1), F.floor((F.octet_length("code") + F.octet_length(F.coalesce("signature", F.lit("")))) / 4)).cast("int")
-    order = Window.orderBy(F.desc("score"), "doc_id", "sym_idx")
-    items = items.withColumn("cost", cost).withColumn("rank", F.row_number().over(order))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"), F.lit(False).alias("cut"))
+    found = shared.checkpoint(expand(candidates(docs, symbols, refs, task), docs, symbols, refs))
+    code = F.array_join(F.slice(F.split("text", "\n"), F.col("line_start"), F.least(F.col("line_end"), F.col("line_start") + EXTRA_LINES) - F.col("line_start") + 1), "\n")
+    cost = F.greatest(F.lit(1), F.floor((F.octet_length(code) + F.octet_length(F.coalesce("signature", F.lit("")))) / 4)).cast("int")
+    order = [F.desc("score"), "doc_id", "sym_idx"]
+    items = shared.checkpoint(found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sym_idx", "line_start", "score", cost.alias("cost")))
+    best = items.where(F.col("cost") <= budget).withColumn("rn", F.row_number().over(Window.partitionBy("cost").orderBy(*order))).where(F.col("rn") <= budget)
+    best = best.where(F.col("rn") * F.col("cost") <= budget).drop("rn").unionByName(items.orderBy(*order).limit(1)).dropDuplicates(["doc_id", "sym_idx", "line_start", "cost"])
+    key = F.struct((-F.col("score")).alias("s"), "doc_id", "sym_idx", "line_start", "cost")
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<s:double,doc_id:bigint,sym_idx:int,line_start:int,cost:int>>").alias("taken"))
 
     def step(a, x):
-        full = (F.size(a["taken"]) > 0) & ((a["used"] >= budget) | (a["used"] + x["cost"] > budget))
-        return F.struct(F.when(full, a["used"]).otherwise(a["used"] + x["cost"]).alias("used"), F.when(full, a["taken"]).otherwise(F.concat(a["taken"], F.array(x["rank"]))).alias("taken"), (a["cut"] | full).alias("cut"))
+        full = (F.size(a["taken"]) > 0) & (a["used"] + x["cost"] > budget)
+        return F.when(full, a).otherwise(F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["taken"], F.array(x)).alias("taken")))
 
-    fold = items.agg(F.array_sort(F.collect_list(F.struct("rank", "cost"))).alias("xs")).select(F.aggregate("xs", start, step).alias("f"))
-    taken = fold.select(F.explode("f.taken").alias("rank"), F.col("f.used").alias("used_tokens"), F.col("f.cut").alias("truncated"))
-    return items.join(F.broadcast(taken), "rank").select("rank", "path", "lang", "name", "kind", "line_start", "line_end", "code", "reason", "score", "cost", "used_tokens", "truncated").orderBy("rank")
+    fold = best.agg(F.array_sort(F.collect_list(key)).alias("xs")).select(F.aggregate("xs", start, step).alias("f"))
+    total = items.agg(F.count("*").alias("n"))
+    taken = fold.crossJoin(total).select(F.col("f.used").alias("used_tokens"), (F.col("n") > F.size("f.taken")).alias("truncated"), F.posexplode("f.taken").alias("p", "t"))
+    taken = taken.select((F.col("p") + 1).alias("rank"), F.col("t.doc_id").alias("doc_id"), F.col("t.sym_idx").alias("sym_idx"), F.col("t.cost").alias("cost"), "used_tokens", "truncated")
+    out = found.join(F.broadcast(taken), ["doc_id", "sym_idx"]).join(docs.select("doc_id", "text"), "doc_id").withColumn("code", code)
+    return out.select("rank", "path", "lang", "name", "kind", "line_start", "line_end", "code", "reason", "score", "cost", "used_tokens", "truncated").orderBy("rank")

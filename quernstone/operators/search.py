@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import regexlang, text as T
+from ..functions import regexlang, text as T, trigram
 
 MATCH_CAP = 4096
 _BEGIN, _END = "\x01", "\x02"
@@ -113,6 +113,8 @@ def hit_lines(docs: DataFrame, q: Query) -> DataFrame:
             at = F.octet_length(F.substring_index("raw", q.pattern, 1)) + 1
             found = lines.select("doc_id", "path", "lang", (F.col("pos") + 1).alias("line"), at.cast("int").alias("column"), "raw", T.count_of(F.col("raw"), q.pattern).cast("int").alias("n"))
         else:
+            if q.whole_word:  # holds for every line with a whole word, so that the fold sees few others
+                lines = lines.where(F.col("raw").rlike(f"(?<!{_WORD})(?:{pattern})(?!{_WORD})"))
             hits = lines.withColumn("m", _located(F.col("raw"), pattern, q.whole_word)).where(F.size("m.hits") > 0)
             found = hits.select("doc_id", "path", "lang", (F.col("pos") + 1).alias("line"), F.col("m.hits")[0]["column"].alias("column"), "raw", F.col("m.n").alias("n"))
         if not q.exhaustive:
@@ -145,6 +147,18 @@ def search(docs: DataFrame, q: Query, symbols: DataFrame | None = None) -> DataF
     return page.select(*out)
 
 
+def plan(q: Query) -> trigram.Plan:
+    """What the index must hold of a document that matches."""
+    if q.regex:
+        return trigram.regex_plan(q.pattern, q.case_insensitive)
+    return trigram.ignore_case_plan(q.pattern) if q.case_insensitive else trigram.literal_plan(q.pattern)
+
+
+def indexed(docs: DataFrame, postings: DataFrame, q: Query, symbols: DataFrame | None = None) -> DataFrame:
+    """As search, over the documents that the postings admit: few trigrams are read, and texts of candidates alone matched."""
+    return search(trigram.candidates(postings, docs, plan(q)), q, symbols)
+
+
 def references(docs: DataFrame, name: str, symbols: DataFrame | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Whole-word occurrences of a name in texts."""
     return search(docs, Query(name, whole_word=True, limit=limit, offset=offset), symbols)

@@ -7,6 +7,11 @@ more are calls.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -35,26 +40,46 @@ def symbols(d: DataFrame) -> DataFrame:
 
 
 def refs(d: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(doc_id, name, kind, line, column). With names, only texts that contain one are looked at."""
+    """(doc_id, name, kind, line, column). With names, only texts that contain one are looked at.
+
+    One Arrow pass over the bytes of a batch: runs of small letters, and the line that each stands on.
+    """
     if names is not None:
         wanted = F.lit(False)
         for n in names:
             wanted = wanted | F.col("text").contains(n)
         d = d.where(wanted)
-    marked = lines(d).select("doc_id", "line", F.split(F.regexp_replace("raw", "[a-z]{5,}", "\x01$0\x02"), "\x01", -1).alias("ps"))
-    start = F.struct(F.octet_length(F.col("ps")[0]).alias("at"), F.array().cast("array<struct<name:string,column:int>>").alias("out"))
-
-    def step(acc, p):
-        w = F.substring_index(p, "\x02", 1)
-        return F.struct((acc["at"] + F.octet_length(p) - 1).alias("at"), F.concat(acc["out"], F.array(F.struct(w.alias("name"), (acc["at"] + 1).cast("int").alias("column")))).alias("out"))
 
-    found = marked.withColumn("out", F.aggregate(F.slice("ps", F.lit(2), F.greatest(F.size("ps") - 1, F.lit(0))), start, step)["out"])
-    out = found.select("doc_id", "line", F.explode("out").alias("r")).select("doc_id", F.col("r.name").alias("name"), F.lit("call").alias("kind"), "line", F.col("r.column").alias("column"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = pc.fill_null(b.column("text"), "")
+            offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+            data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[: offs[-1]]
+            letter = (data >= 97) & (data <= 122)
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offs] = True
+            before = np.concatenate([[False], letter[:-1]]) & ~edge[:-1]
+            after = np.concatenate([letter[1:], [False]]) & ~edge[1:]
+            start, end = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
+            start, end = start[end - start >= 5], end[end - start >= 5]
+            row = np.searchsorted(offs, start, "right") - 1
+            breaks = np.flatnonzero(data == 10)
+            nth = np.searchsorted(breaks, start)
+            of_text = nth - np.searchsorted(breaks, offs[row])
+            begin = np.where(of_text > 0, breaks[np.maximum(nth - 1, 0)] + 1 if len(breaks) else 0, offs[row])
+            size = end - start
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            chars = data[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
+            found = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(chars))
+            call = pa.array(["call"]).take(pa.array(np.zeros(len(start), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), found, call, pa.array((of_text + 1).astype(np.int32)), pa.array((start - begin + 1).astype(np.int32))], ["doc_id", "name", "kind", "line", "column"])
+
+    out = d.select("doc_id", "text").mapInArrow(run, "doc_id long, name string, kind string, line int, column int")
     return out if names is None else out.where(F.col("name").isin(names))
 
 
-
-
 #: The same relations for DuckDB; a query is appended.
 SQL = """
 WITH RECURSIVE docs AS MATERIALIZED (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trigram
 from ..operators import callgraph as G, search as S, symbols as Y
-from ..plans import standin
+from ..plans import standin, stored
 from ..plans.standin import PATH_SCORE, SQL
 
 QUERIES: dict = {}
@@ -88,8 +88,8 @@ def _posts(s, p):
     return d, trigram.postings(d)
 
 
-add("trigram_extract", _tri + "SELECT doc_id, list(tri ORDER BY tri) AS trigrams FROM tri GROUP BY doc_id")(lambda s, p: standin.docs(s, p).select("doc_id", trigram.extract(F.col("text")).alias("trigrams")))
-add("trigram_stats", _tri + "SELECT tri, count(*) AS df FROM tri GROUP BY tri")(lambda s, p: trigram.stats(_posts(s, p)[1]))
+add("trigram_extract", _tri + "SELECT docs.doc_id, coalesce(list(tri ORDER BY tri) FILTER (tri IS NOT NULL), []) AS trigrams FROM docs LEFT JOIN tri USING (doc_id) GROUP BY docs.doc_id")(lambda s, p: trigram.extract(standin.docs(s, p)))
+add("trigram_stats", _tri + "SELECT tri, count(*) AS df FROM tri GROUP BY tri")(lambda s, p: trigram.stats(_posts(s, p)[1]).select(trigram.name(F.col("tri")).alias("tri"), "df"))
 
 
 @add("trigram_and", _tri + ", df AS (SELECT tri, count(*) AS n FROM tri GROUP BY tri), rare AS (SELECT tri FROM df WHERE tri IN ('" + "','".join(trigram.of(b"nicht und")) + "') ORDER BY n, tri LIMIT 4) SELECT doc_id FROM tri SEMI JOIN rare USING (tri) GROUP BY doc_id HAVING count(*) = (SELECT count(*) FROM rare)")
@@ -104,10 +104,25 @@ def _trigram_dnf(s, p):
     return trigram.candidates(posts, d, [*trigram.ignore_case_plan("ere"), *trigram.literal_plan("tio")]).select("doc_id")
 
 
-@add("trigram_search_equiv", _ranked(_literal("ment")))
-def _trigram_search(s, p):
-    d, posts = _posts(s, p)
-    return S.search(trigram.candidates(posts, d, trigram.literal_plan("ment")), S.Query("ment"), standin.symbols(d))
+add("trigram_search_equiv", _ranked(_literal("ment")))(lambda s, p: (lambda d, posts: S.indexed(d, posts, S.Query("ment"), standin.symbols(d)))(*_posts(s, p)))
+
+
+# searches of a stored index, built once a session and folder
+def _indexed(q: S.Query):
+    def run(s, p):
+        index = stored.index(s, p)
+        return S.indexed(index.table("docs"), index.table("postings"), q, index.table("symbols"))
+
+    return run
+
+
+add("index_build", " SELECT count(*) AS doc_count, (SELECT count(*) FROM symbols) AS symbol_count FROM docs")(lambda s, p: stored.counts(s, stored.build(s, p)))
+add("index_status", " SELECT count(*) AS doc_count, (SELECT count(*) FROM symbols) AS symbol_count FROM docs")(lambda s, p: stored.counts(s, stored.index(s, p)))
+add("indexed_search", _ranked(_literal("ption")))(_indexed(S.Query("ption")))
+add("indexed_search_ci", _ranked(_regexp("(?i)ÈRE")))(_indexed(S.Query("ÈRE", case_insensitive=True)))
+add("indexed_search_regex", _ranked(_regexp("license[a-z]* [a-z]+")))(_indexed(S.Query("license[a-z]* [a-z]+", regex=True)))
+add("indexed_search_whole_word", _ranked(_ww.replace(")the(", ")under(").replace("])the(?:", "])under(?:")))(_indexed(S.Query("under", whole_word=True)))
+add("indexed_postings", _tri + "SELECT tri, doc_id FROM tri WHERE tri IN ('" + "','".join(trigram.of(b"license")) + "')")(lambda s, p: stored.index(s, p).table("postings").where(F.col("tri").isin([trigram.number(g) for g in trigram.of(b"license")])).select(trigram.name(F.col("tri")).alias("tri"), "doc_id"))
 
 
 # symbols and files
@@ -168,8 +183,15 @@ def _graph(fn, names=("nicht",)):
     return run
 
 
+def _callees(d, name, limit):
+    """Calls are looked for in the documents that define the name alone."""
+    y = standin.symbols(d)
+    holding = d.join(Y.definitions(d, y, name).select("doc_id").distinct(), "doc_id", "left_semi")
+    return G.callees(d, y, standin.refs(holding), name, limit)
+
+
 add("callers", _enc.format(w="name = 'nicht'") + " SELECT caller, 'nicht' AS callee, path, lang, line, \"column\" FROM enc JOIN docs USING (doc_id) WHERE rn = 1 ORDER BY path, line, \"column\" LIMIT 100")(_graph(lambda d, y, r: G.callers(d, y, r, "nicht")))
-add("callees", " SELECT DISTINCT 'thble' AS caller, r.name AS callee, path, lang, r.line, r.\"column\" FROM refs r JOIN symbols s USING (doc_id) JOIN docs USING (doc_id) WHERE s.name = 'thble' AND r.line BETWEEN s.line_start AND s.line_end ORDER BY callee, path, line, \"column\" LIMIT 500")(_graph(lambda d, y, r: G.callees(d, y, r, "thble", 500), None))
+add("callees", " SELECT DISTINCT 'thble' AS caller, r.name AS callee, path, lang, r.line, r.\"column\" FROM refs r JOIN symbols s USING (doc_id) JOIN docs USING (doc_id) WHERE s.name = 'thble' AND r.line BETWEEN s.line_start AND s.line_end ORDER BY callee, path, line, \"column\" LIMIT 500")(lambda s, p: _callees(standin.docs(s, p), "thble", 500))
 add("call_indegree", " SELECT name, count(*) AS n FROM refs GROUP BY name")(_graph(lambda d, y, r: G.in_degree(r), None))
 add(
     "blast_radius",

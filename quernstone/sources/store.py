@@ -1,22 +1,26 @@
 """The index on disk: immutable segments of Parquet, a manifest swapped by rename, and incremental maintenance.
 
 A reader takes its files from the manifest, never from a listing of folders, so it sees a whole state or the one before.
-A segment's documents, symbols and references are written first; the manifest's rename is the only commit.
+A segment's documents, symbols, references and trigram postings (in order of trigram) are written first, and their
+files' sums; the manifest's rename is the only commit. The folder may be on any file system that Hadoop knows.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-SCHEMA_VERSION = 1
-TABLES = ("docs", "symbols", "refs")
+from ..functions import trigram
+from .fs import Folder
+
+SCHEMA_VERSION = 2
+TABLES = ("docs", "symbols", "refs", "postings")
 
 
 class Corrupt(RuntimeError):
@@ -32,6 +36,8 @@ class Manifest:
     doc_count: int = 0
     symbol_count: int = 0
     tombstones: list[int] = field(default_factory=list)  # ids of generations of dead rows
+    measures: dict[str, list[int]] = field(default_factory=dict)  # [files, bytes] of each folder of a segment
+    head: list[str] | None = None  # commit and branch of the tree, where it is a repository
 
 
 def classify(walk: DataFrame, state: DataFrame) -> DataFrame:
@@ -58,8 +64,6 @@ def live(docs: DataFrame, tombstones: DataFrame) -> DataFrame:
 def compaction_plan(sizes: DataFrame, threshold: int) -> DataFrame:
     """(segment, n) of the smallest segments to merge, when there are more than threshold, down to half of it."""
     total = sizes.agg(F.count("*").alias("total"))
-    from pyspark.sql.window import Window
-
     ranked = sizes.withColumn("rn", F.row_number().over(Window.orderBy("n", "segment"))).crossJoin(F.broadcast(total))  # a row a segment
     return ranked.where((F.col("total") > threshold) & (F.col("rn") <= F.col("total") - max(threshold // 2, 1) + 1)).select("segment", "n")
 
@@ -69,31 +73,48 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, extract, threshold: int = 16):
         self.spark, self.root, self.extract, self.threshold = spark, root, extract, threshold
+        self.folder = Folder(spark, root)
 
     # manifest
 
     def manifest(self) -> Manifest:
-        path = f"{self.root}/manifest.json"
-        if not os.path.exists(path):
+        if not self.folder.exists("manifest.json"):
             return Manifest()
         try:
-            with open(path) as f:
-                m = Manifest(**json.load(f))
-        except (ValueError, TypeError) as e:
+            m = Manifest(**json.loads(self.folder.read("manifest.json")))
+        except (ValueError, TypeError, Py4JJavaError) as e:
             raise Corrupt(str(e)) from e
         if m.schema_version != SCHEMA_VERSION:
             raise Corrupt(f"schema version {m.schema_version}")
         return m
 
     def publish(self, m: Manifest) -> None:
-        os.makedirs(self.root, exist_ok=True)
         m.last_indexed = int(time.time())
-        temp = f"{self.root}/manifest.json.new"
-        with open(temp, "w") as f:
-            json.dump(asdict(m), f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temp, f"{self.root}/manifest.json")
+        self.folder.write("manifest.json", json.dumps(asdict(m)))
+
+    def check(self, m: Manifest | None = None) -> None:
+        """Whether all files that the manifest counts are there, in number and size; no data is read."""
+        m = m or self.manifest()
+        if not m.segments:
+            raise Corrupt("no index")
+        for name, measure in m.measures.items():
+            if self.folder.measure(name) != measure:
+                raise Corrupt(f"{name} isn't as it was written")
+
+    def verify(self) -> None:
+        """Reads every file again and compares its checksum with the one taken when it was written."""
+        m = self.manifest()
+        self.check(m)
+        for i in m.segments:
+            bad = self._sums(i).exceptAll(self.spark.read.parquet(f"{self.root}/segment-{i}/sums")).limit(1).collect()
+            if bad:
+                raise Corrupt(f"{bad[0].name} of segment {i} has changed")
+
+    def _sums(self, segment: int) -> DataFrame:
+        """(name, size, crc) of the files of a segment's tables."""
+        paths = [f"{self.root}/segment-{segment}/{t}" for t in TABLES]
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths)
+        return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.crc32("content").alias("crc"))
 
     # reading
 
@@ -111,58 +132,92 @@ class Store:
 
     # writing
 
-    def _write(self, docs: DataFrame, m: Manifest, carried: tuple[DataFrame, DataFrame] | None = None) -> int:
+    def _write(self, docs: DataFrame, m: Manifest, carried: dict[str, DataFrame] | None = None, moved: DataFrame | None = None) -> int:
+        """A new segment. carried: its other tables. moved: (old_id, doc_id), whose symbols and references are those of old_id."""
         n = m.next_segment_id
         m.next_segment_id += 1
-        path = f"{self.root}/segment-{n}"
-        shutil.rmtree(path, ignore_errors=True)
+        name = f"segment-{n}"
+        self.folder.delete(name)
+        path = f"{self.root}/{name}"
         docs.write.parquet(f"{path}/docs")
-        symbols, refs = carried or self.extract(self.spark.read.parquet(f"{path}/docs"))
-        symbols.write.parquet(f"{path}/symbols")
-        refs.write.parquet(f"{path}/refs")
+        here = self.spark.read.parquet(f"{path}/docs")
+        if carried is None:
+            fresh = here if moved is None else here.join(moved, "doc_id", "left_anti")
+            carried = dict(zip(("symbols", "refs"), self.extract(fresh), strict=True)) | {"postings": trigram.postings(here)}
+            if moved is not None:
+                for t in ("symbols", "refs"):
+                    own = self.table(t, m).drop("segment").withColumnRenamed("doc_id", "old_id").join(moved, "old_id").drop("old_id")
+                    carried[t] = carried[t].unionByName(own)
+        for t in ("symbols", "refs"):
+            carried[t].write.parquet(f"{path}/{t}")
+        carried["postings"].repartitionByRange("tri").sortWithinPartitions("tri", "doc_id").write.parquet(f"{path}/postings")
+        self._sums(n).write.parquet(f"{path}/sums")
         m.segments.append(n)
+        m.measures |= {f"{name}/{t}": self.folder.measure(f"{name}/{t}") for t in (*TABLES, "sums")}
         return n
 
     def _counts(self, m: Manifest) -> None:
         m.doc_count, m.symbol_count = self.table("docs", m).count(), self.table("symbols", m).count()
+        kept = {f"segment-{i}" for i in m.segments} | {f"dead-{i}" for i in m.tombstones}
+        m.measures = {k: v for k, v in m.measures.items() if k.split("/")[0] in kept}
 
-    def full(self, docs: DataFrame) -> Manifest:
+    def full(self, docs: DataFrame, head: list[str] | None = None) -> Manifest:
         """All documents in one new segment; what was there goes after the swap."""
         try:
             old = self.manifest()
         except Corrupt:
-            old = Manifest(next_segment_id=1 + max([0, *(int(x.split("-")[1]) for x in os.listdir(self.root) if x.startswith("segment-"))]))
-        m = Manifest(next_segment_id=old.next_segment_id)
+            old = Manifest(next_segment_id=1 + max([0, *(int(x.split("-")[1]) for x in self.folder.names() if x.startswith(("segment-", "dead-")))]))
+        m = Manifest(next_segment_id=old.next_segment_id, head=head)
         self._write(docs, m)
         self._counts(m)
         self.publish(m)
         self.sweep(m)
         return m
 
-    def incremental(self, docs: DataFrame) -> dict[str, int]:
-        """Brings the index to the given documents by a new segment of what changed and tombstones of what went."""
+    def incremental(self, docs: DataFrame, head: list[str] | None = None) -> dict[str, int]:
+        """Brings the index to the given documents by a new segment of what changed and tombstones of what went.
+
+        What was only moved keeps its symbols and references. An index that doesn't hold together (files missing, or a
+        path that is live twice) is built anew.
+        """
         try:
             m = self.manifest()
+            self.check(m)
             state = self.table("docs", m)
+            if not state.groupBy("path").count().where("count > 1").isEmpty():
+                raise Corrupt("a path is live twice")
         except Corrupt:
-            self.full(docs)
+            self.full(docs, head)
             return {"added": self.manifest().doc_count}
+        m.head = head
         changes = classify(docs, state).where("status <> 'same'").cache()
         counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}  # four rows at most
         gone, new = changes.where("status in ('deleted', 'changed')"), changes.where("status in ('added', 'changed')")
+        moved = None
+        if counts.get("deleted") and counts.get("added"):
+            pairs = renames(docs, state, changes)
+            ids = state.select(F.col("path").alias("old_path"), F.col("doc_id").alias("old_id"))
+            moved = pairs.join(ids, "old_path").join(docs.select(F.col("path").alias("new_path"), "doc_id"), "new_path").select("old_id", "doc_id").cache()
+            counts["renamed"] = moved.count()
+        if counts.get("added", 0) + counts.get("changed", 0):
+            before = Manifest(**asdict(m))
+            n = self._write(docs.select(*[c for c in state.columns if c != "segment"]).join(new, "path", "left_semi"), before, moved=moved if counts.get("renamed") else None)
+            m.next_segment_id, m.measures = before.next_segment_id, before.measures
+            m.segments.append(n)
         if counts.get("deleted", 0) + counts.get("changed", 0):
             i = m.next_segment_id
             m.next_segment_id += 1
             state.join(gone, "path", "left_semi").select("segment", "doc_id").write.mode("overwrite").parquet(f"{self.root}/dead-{i}")
             m.tombstones.append(i)
-        if counts.get("added", 0) + counts.get("changed", 0):
-            self._write(docs.join(new, "path", "left_semi"), m)
+            m.measures[f"dead-{i}"] = self.folder.measure(f"dead-{i}")
         if counts.keys() - {"touched"}:
             self._counts(m)
             self.publish(m)
             if len(m.segments) > self.threshold:
                 self.compact(m)
         changes.unpersist()
+        if moved is not None:
+            moved.unpersist()
         return counts
 
     def compact(self, m: Manifest | None = None, everything: bool = False) -> Manifest:
@@ -177,7 +232,7 @@ class Store:
             return m
         rows = {t: self.table(t, m).where(F.col("segment").isin(some)).drop("segment") for t in TABLES}
         new = Manifest(**asdict(m))
-        self._write(rows["docs"], new, (rows["symbols"], rows["refs"]))
+        self._write(rows.pop("docs"), new, rows)
         new.segments = [s for s in new.segments if s not in some]
         if everything:
             new.tombstones = []
@@ -189,9 +244,9 @@ class Store:
     def sweep(self, m: Manifest) -> None:
         """Deletes what the manifest doesn't name."""
         keep = {f"segment-{i}" for i in m.segments} | {f"dead-{i}" for i in m.tombstones}
-        for name in os.listdir(self.root):
+        for name in self.folder.names():
             if name.startswith(("segment-", "dead-")) and name not in keep:
-                shutil.rmtree(f"{self.root}/{name}", ignore_errors=True)
+                self.folder.delete(name)
 
     def is_dirty(self, walk: DataFrame) -> bool:
         """Whether a file is new, changed or missing."""
@@ -203,6 +258,7 @@ class Store:
     def ensure(self, docs: DataFrame) -> bool:
         """Builds the index if it is absent, empty or unreadable."""
         try:
+            self.check()
             if self.table("docs").limit(1).count():
                 return False
         except Exception:  # any damage is mended by a rebuild
@@ -212,7 +268,7 @@ class Store:
 
     def status(self) -> dict:
         m = self.manifest()
-        return {"root": self.root, "indexed": bool(m.segments), "segments": len(m.segments), "doc_count": m.doc_count, "symbol_count": m.symbol_count, "last_indexed": m.last_indexed}
+        return {"root": self.root, "indexed": bool(m.segments), "segments": len(m.segments), "doc_count": m.doc_count, "symbol_count": m.symbol_count, "last_indexed": m.last_indexed, "head": m.head}
 
     def clean(self) -> None:
-        shutil.rmtree(self.root, ignore_errors=True)
+        self.folder.delete()

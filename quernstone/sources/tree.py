@@ -121,16 +121,23 @@ def walk(spark: SparkSession, root: str, config: Config = Config()) -> tuple[Dat
     return judged.where("reason is null").select("rel", "size", "mtime_ns"), skipped.where("reason <> 'empty'") if config.index_empty else skipped
 
 
-def read(spark: SparkSession, root: str, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(docs, skipped): contents decoded with replacement; files with a NUL byte are skipped as binary unless asked for."""
-    entries, skipped = walk(spark, root, config)
+def read(spark: SparkSession, root: str, config: Config = Config(), entries: DataFrame | None = None, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs, skipped): contents decoded with replacement; files with a NUL byte are skipped as binary unless asked for.
+
+    entries: those of a walk to read, instead of a walk made here; skipped then holds binary files alone. only: their
+    paths, where they are few, so that no other file is opened.
+    """
     root = os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if entries is None:
+        entries, skipped = walk(spark, root, config)
+    else:
+        skipped = spark.createDataFrame([], "rel string, reason string")
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = source.load(root if only is None else [os.path.join(root, x) for x in only] or root)
     rel = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(root.rstrip("/")) + 2, 1 << 20)
     found = files.select(rel.alias("rel"), "content").join(entries, "rel")
-    binary = F.instr(F.hex("content"), "00") > 0
-    pairs = F.expr("exists(sequence(0, greatest(length(content) - 1, 0)), i -> substring(content, i + 1, 1) = X'00')")
-    found = found.withColumn("binary", binary & pairs)
+    # one character a byte, so that a NUL byte is a NUL character
+    found = found.withColumn("binary", F.instr(F.decode("content", "ISO-8859-1"), "\0") > 0)
     if not config.index_binary:
         skipped = skipped.unionByName(found.where("binary").select("rel", F.lit("binary").alias("reason")))
         found = found.where("not binary")

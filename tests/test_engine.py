@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import random
 import re
 import subprocess
@@ -241,7 +243,7 @@ def test_a_crash_before_the_swap_changes_nothing(spark, tmp_path, monkeypatch):
     e.reindex()
     put(tmp_path, {"a.py": "def b(): pass  # longer\n"})
     with monkeypatch.context() as m:
-        m.setattr(store.os, "replace", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        m.setattr(store.Folder, "swap", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
         with pytest.raises(OSError):
             e.reindex()
     assert {r.name for r in e.symbols_table.collect()} == {"a"}
@@ -249,6 +251,118 @@ def test_a_crash_before_the_swap_changes_nothing(spark, tmp_path, monkeypatch):
     assert {r.name for r in e.symbols_table.collect()} == {"b"}
 
 
+def test_moved_files_keep_their_symbols(spark, tmp_path, monkeypatch):
+    put(tmp_path, {"a.py": "def alpha():\n    beta()\n", "b.py": "def beta():\n    pass\n"})
+    e = api.Engine(spark, str(tmp_path))
+    e.reindex()
+    (tmp_path / "a.py").rename(tmp_path / "moved.py")
+    put(tmp_path, {"c.py": "def gamma():\n    alpha()\n"})
+    seen = []
+    inner = e.store.extract
+    e.store.extract = lambda d: seen.extend(r.path for r in d.collect()) or inner(d)
+    counts = e.reindex()
+    assert counts["renamed"] == 1 and seen == ["c.py"]
+    got = {(r.path, r.name) for r in e.docs.join(e.symbols_table, "doc_id").collect()}
+    assert got == {("moved.py", "alpha"), ("b.py", "beta"), ("c.py", "gamma")}
+    assert {r.path for r in e.callers("beta").collect()} == {"moved.py"}
+    assert [r.path for r in e.search(search.Query("def alpha")).collect()] == ["moved.py"]
+
+
+def test_files_that_look_the_same_are_not_opened(spark, tmp_path):
+    put(tmp_path, {"a.py": "x = 1\n", "b.py": "y = 2\n"})
+    e = api.Engine(spark, str(tmp_path))
+    e.reindex()
+    stat = (tmp_path / "a.py").stat()
+    (tmp_path / "a.py").write_text("x = 9\n")  # same size; the time is set back
+    os.utime(tmp_path / "a.py", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert not e.is_dirty() and "changed" not in e.reindex()
+    os.utime(tmp_path / "a.py")
+    assert e.is_dirty() and e.reindex()["changed"] == 1 and e.search(search.Query("x = 9")).count() == 1
+    os.utime(tmp_path / "b.py")
+    assert not e.is_dirty() and e.reindex()["touched"] == 1
+
+
+def test_a_damaged_index_is_noticed(spark, tmp_path):
+    put(tmp_path, {"a.py": "def alpha():\n    pass\n"})
+    e = api.Engine(spark, str(tmp_path))
+    e.reindex()
+    e.verify()
+    folder = tmp_path / api.tree.INDEX_DIR / "segment-1" / "postings"
+    part = next(x for x in folder.iterdir() if x.suffix == ".parquet")
+    good = part.read_bytes()
+    part.write_bytes(good[:40] + bytes([good[40] ^ 1]) + good[41:])
+    for x in folder.glob(".*.crc"):
+        x.write_bytes(b"")
+    with pytest.raises(store.Corrupt):
+        e.verify()
+    part.unlink()
+    with pytest.raises(store.Corrupt):
+        e.store.check()
+    assert [(r.path, r.score) for r in e.search(search.Query("alpha")).collect()] == [("a.py", 1.0)]  # a scan: no bonus
+    e.reindex()  # built anew
+    e.verify()
+    assert [(r.path, r.score) for r in e.search(search.Query("alpha")).collect()] == [("a.py", 4.0)]
+
+
+def test_indexed_search_reads_candidates_alone(spark, tmp_path):
+    rng = random.Random(4)
+    put(tmp_path, {f"d/f{i}.txt": " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 40)) for _ in range(30)) for i in range(40)})
+    e = api.Engine(spark, str(tmp_path))
+    e.reindex()
+    posts = e.store.table("postings")
+    for q in (search.Query("alpha7", exhaustive=True), search.Query("GAMMA1", case_insensitive=True, exhaustive=True), search.Query(r"beta3\d", regex=True, exhaustive=True), search.Query("zz9", exhaustive=True), search.Query("a1", exhaustive=True)):
+        want = [tuple(r) for r in search.search(e.docs, q, e.symbols_table).collect()]
+        assert [tuple(r) for r in search.indexed(e.docs, posts, q, e.symbols_table).collect()] == want == [tuple(r) for r in e.search(q).collect()]
+    few = trigram.candidates(posts, e.docs, search.plan(search.Query("alpha7"))).count()
+    assert few < 40
+
+
+def test_semantic_index_is_kept(spark, tmp_path):
+    put(tmp_path, {"billing/invoice_total.py": "def invoice_total(rows):\n    return sum(rows)\n", "src/parse.py": "def parse_config(path):\n    return open(path).read()\n", "notes.txt": "nothing of note\n"})
+    e = api.Engine(spark, str(tmp_path))
+    e.reindex()
+    assert e.build_semantic() == 3
+    at = e._semantic()
+    assert e.semantic_search("invoice total").first().path == "billing/invoice_total.py" and e._semantic() == at
+    assert e.semantic_search("parse_config").first().name == "parse_config"
+    put(tmp_path, {"src/parse.py": "def parse_other(path):\n    return 1\n"})
+    e.reindex()
+    assert e.semantic_search("parse_other").first().name == "parse_other" and e._semantic() != at
+
+
+def test_serve(spark, tmp_path):
+    put(tmp_path, {"a.py": "def alpha():\n    pass\n"})
+    out = []
+    lines = ['{"method": "ping", "id": 1}', "", '{"method": "reindex"}', '{"method": "search", "pattern": "alpha"}', '{"method": "nope", "id": 5}', "{", '{"method": "semanticSearch", "query": "alpha"}']
+    api.serve(lambda root: api.Engine(spark, str(tmp_path)), lines, lambda x: out.append(json.loads(x)))
+    assert out[0] == {"id": 1, "result": "pong"} and out[1]["result"]["added"] == 1 and out[2]["result"][0]["path"] == "a.py"
+    assert out[3]["id"] == 5 and "nope" in out[3]["error"] and "error" in out[4] and out[5]["result"][0]["name"] == "alpha"
+
+
+def test_savings_log_is_trimmed(spark, tmp_path, monkeypatch):
+    put(tmp_path, {"a.py": "def alpha():\n    pass\n"})
+    e = api.Engine(spark, str(tmp_path))
+    e.reindex()
+    hits = e.search(search.Query("alpha"))
+    for now in (100, 200, 300):
+        monkeypatch.setattr(api.time, "time", lambda now=now: now)
+        e.record_savings(hits, "search")
+    assert e.savings_report()[1].first().queries == 3
+    monkeypatch.setattr(api, "LOG_BYTES", 10)
+    monkeypatch.setattr(api.time, "time", lambda: 400)
+    e.record_savings(hits, "search")
+    assert e.savings_report()[1].first().queries == 3  # of four, those from the middle on
+
+
+def test_index_counters_and_tokens(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.semantic_tokens(F.lit("parseConfig a_bc x2Go HTTP"))) == ["parse", "config", "parseconfig", "bc", "a_bc", "x2", "go", "x2go", "http", "http"]
+    assert one(T.path_tokens(F.lit("packages/core/src/middleware/flipTable.ts"))) == ["flip", "table", "fliptable"]
+    assert one(T.path_tokens(F.lit("wms/stock_channel/models/index.py"))) == ["wms", "wms", "stock", "channel", "stock_channel"]
+    assert T.task_terms("Add the StockRelease code, and fix its use") == ["stock", "release", "its"]
+    assert abs(one(T.noise_penalty(F.lit("a/tests/legacy/README.md"))) - 0.102) < 1e-9 and one(T.noise_penalty(F.lit("contests/latest.py"))) == 0
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init", "-q")
