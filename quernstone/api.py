@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
-from .operators import callgraph, extract, hybrid, pack, savings, search, symbols
+from .operators import callgraph, extract, hybrid, pack, savings, search, static_model, symbols
 from .sources import store, tree
 
 #: So many changed files are opened by name; of more, the whole tree is listed again.
@@ -42,7 +42,9 @@ def inside(root: str, path: str) -> str:
 class Engine:
     """One project. Every query method gives a DataFrame; nothing runs before it is asked for rows."""
 
-    def __init__(self, spark: SparkSession, root: str, config: tree.Config | None = None):
+    def __init__(self, spark: SparkSession, root: str, config: tree.Config | None = None, model: str | None = None):
+        """model: the folder of a static embedding model, which all executors share; else terms are hashed."""
+        self.model = model
         self.spark, self.root = spark, os.path.abspath(root)
         self.folder = f"{self.root}/{tree.INDEX_DIR}"
         self.config = config or tree.Config.load(f"{self.folder}/config.toml")
@@ -194,22 +196,26 @@ class Engine:
     def _semantic(self) -> str:
         """The folder of the semantic index of the present state, built if it isn't there; the ones before go."""
         m = self.store.manifest()
-        name = f"semantic-{m.last_indexed}-{m.next_segment_id}-{EMBEDDER}"
+        embedder = static_model.load(self.model).id if self.model else EMBEDDER
+        name = f"semantic-{m.last_indexed}-{m.next_segment_id}-{embedder}"
         path = f"{self.folder}/{name}"
         if not self.store.folder.exists(f"{name}/done"):
             self.store.folder.delete(name)
             hybrid.chunks(self.docs, self.symbols_table).write.parquet(f"{path}/chunks")
             chunks = self.spark.read.parquet(f"{path}/chunks")
             hybrid.terms(chunks).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-            hybrid.hash_embedding(chunks, text="embedded").write.parquet(f"{path}/vectors")
+            self._embed(chunks, "embedded").write.parquet(f"{path}/vectors")
             lengths = self.spark.read.parquet(f"{path}/terms").groupBy("chunk_id").agg(F.first("dl").alias("dl"))
             lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl")).write.parquet(f"{path}/size")
-            self.store.folder.write(f"{name}/done", EMBEDDER)
+            self.store.folder.write(f"{name}/done", embedder)
             for old in self.store.folder.names():
                 if old.startswith("semantic-") and old != name:
                     self.store.folder.delete(old)
         return path
 
+    def _embed(self, texts: DataFrame, text: str) -> DataFrame:
+        return static_model.embedding(texts, self.model, text) if self.model else hybrid.hash_embedding(texts, text=text)
+
     def build_semantic(self) -> int:
         """Builds the semantic index if need be; its number of chunks."""
         return self.spark.read.parquet(f"{self._semantic()}/chunks").count()
@@ -221,7 +227,7 @@ class Engine:
         asked = self.spark.createDataFrame([(0, query)], "chunk_id long, text string")
         words = [r.t for r in asked.select(F.explode(hybrid.stems(F.col("text"))).alias("t")).distinct().collect()]
         lexical = hybrid.bm25(terms, words, size=size)
-        q = hybrid.hash_embedding(asked).select(F.col("embedding").alias("q"))
+        q = self._embed(asked, "text").select(F.col("embedding").alias("q"))
         dense = hybrid.vector_topk(vectors.crossJoin(F.broadcast(q)), F.col("q"))
         return hybrid.rerank(hybrid.fuse(lexical, dense, hybrid.weights(query)), chunks.drop("text", "embedded"), query, k)
 

@@ -330,6 +330,39 @@ def test_semantic_index_is_kept(spark, tmp_path):
     assert e.semantic_search("parse_other").first().name == "parse_other" and e._semantic() != at
 
 
+def test_static_model(spark, tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from quernstone.operators import static_model
+
+    vocab = {"[UNK]": 0, "invoice": 1, "total": 2, "parse": 3, "config": 4}
+    t = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    folder = tmp_path / "model"
+    folder.mkdir()
+    t.save(str(folder / "tokenizer.json"))
+    table = np.array([[9, 9], [1, 0], [0.5, 0.5], [0, 1]], np.float16)
+    parts = {"embeddings": table, "mapping": np.array([0, 1, 2, 3, 3], np.int64), "weights": np.array([1, 2, 1, 1, 1], np.float64)}
+    head, at = {}, 0
+    for k, v in parts.items():
+        head[k] = {"dtype": {"float16": "F16", "int64": "I64", "float64": "F64"}[str(v.dtype)], "shape": list(v.shape), "data_offsets": [at, at + v.nbytes]}
+        at += v.nbytes
+    raw = json.dumps(head).encode()
+    (folder / "model.safetensors").write_bytes(len(raw).to_bytes(8, "little") + raw + b"".join(v.tobytes() for v in parts.values()))
+    m = static_model.StaticModel(str(folder))
+    mean = np.array([2 + 0.5, 0.5]) / 2
+    assert np.allclose(m.embed(["invoice total nothing", "zzz", "config"]), [mean / np.linalg.norm(mean), [0, 0], [0, 1]], atol=1e-6)
+    (folder / "config.json").write_text('{"normalize": false}')
+    assert np.allclose(static_model.StaticModel(str(folder)).embed(["invoice total"]), [mean], atol=1e-6)
+    with pytest.raises(ValueError):
+        static_model.tensors(b"short")
+    put(tmp_path / "src", {"a.py": "def invoice(rows):\n    return total\n", "b.py": "def parse(path):\n    return config\n"})
+    e = api.Engine(spark, str(tmp_path / "src"), model=str(folder))
+    e.reindex()
+    assert e.semantic_search("config parse").first().path == "b.py"
+
+
 def test_serve(spark, tmp_path):
     put(tmp_path, {"a.py": "def alpha():\n    pass\n"})
     out = []
