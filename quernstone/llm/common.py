@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 #: A side of a join is broadcast only when its rows, counted first, need no more than this.
 BROADCAST_BYTES = 64 << 20
 #: Of a batch of texts on its way to Python; the JVM and the worker each hold a few of them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT, _SPARKS = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 

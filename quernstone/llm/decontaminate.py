@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, words
 
 NGRAM, MIN_WORDS = 8, 5
-#: Of one automaton: 4 million characters took 0.2 GB of the driver and 0.6 GB of a worker.
+#: Of one automaton: 4 million characters (544,098 patterns) took 0.18 GB of the driver and 0.27 GB of a worker.
 MAX_CHARS = 4_000_000
 SCHEMA = "doc_id long, item_id long, start long, end long, n_words long"
 

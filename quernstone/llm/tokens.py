@@ -21,7 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WHOLE = rf"  |{_SPACE} {_SPACE}|\x{{2581}}|^ | $"
 _CALL = 1 << 17
-_BYTES = 8 << 20
+_BYTES = 4 << 20
 
 
 class Vocabulary:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, words
 
-MAX_EXAMPLES, K, THRESHOLD, BLOCK, STEP = 4096, 16, 0.7, 64, 8
+MAX_EXAMPLES, K, THRESHOLD, BLOCK, STEP, AT_ONCE = 4096, 16, 0.7, 64, 16, 16
 SCHEMA = "doc_id long, toxicity double, rejected boolean, neighbours array<long>, similarities array<double>"
 NEAR_COPY = 0.9
 
@@ -93,11 +93,20 @@ class Index:
         norm = np.sqrt(np.bincount(text, w * w, minlength=n))
         return np.searchsorted(text, np.arange(n + 1)), term, w / norm[text]
 
-    def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None, prune: bool = True):
+    def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, prune: bool = True):
         """(examples, similarities), both [n, k], in order; -1 and 0 where fewer have a positive similarity.
 
-        without: an example that each query must not find. prune = False visits all blocks.
+        prune = False visits all blocks. A few queries are worked on at once, for the memory of postings.
         """
+        n = len(bounds) - 1
+        best, sim = np.full((n, k), -1, np.int64), np.zeros((n, k))
+        for a in range(0, n, AT_ONCE):
+            z = min(a + AT_ONCE, n)
+            some = slice(bounds[a], bounds[z])
+            best[a:z], sim[a:z] = self._nearest(bounds[a : z + 1] - bounds[a], term[some], weight[some], k, prune)
+        return best, sim
+
+    def _nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, prune: bool):
         n, blocks = len(bounds) - 1, self.blocks
         best = np.full((n, k), -1, np.int64)
         sim = np.zeros((n, k))
@@ -126,8 +135,6 @@ class Index:
             p = np.repeat(self.entry_at[entry] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             dots = np.bincount(np.repeat(cell, many) * BLOCK + self.post_example[p], self.post_weight[p] * np.repeat(w, many), minlength=len(active) * wide * BLOCK).reshape(len(active), -1)
             found = (b[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(active), -1)
-            if without is not None:
-                dots[found == without[active][:, None]] = 0
             both, who = np.concatenate([sim[active], dots], axis=1), np.concatenate([best[active], np.where(dots > 0, found, -1)], axis=1)
             if both.shape[1] > 4 * k:  # the k-th largest and all its equals, then the order of those alone
                 least = -np.partition(-both, k - 1, axis=1)[:, k - 1 : k]
@@ -289,14 +296,16 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
         df, n = document_frequencies(docs, vocabulary)
         return np.log(max(n, 1) / np.maximum(df, 1)) + 1
 
-    return build_index(ids, y, bounds, terms.view(np.uint64), tf, idf, base, k)
+    index = build_index(ids, y, bounds, terms.view(np.uint64), tf, idf, base, k)
+    del rows, terms, tf
+    common.give_back()
+    return index
 
 
 def _search(index: Index, col: pa.Array, k: int):
     for lo, hi, cps, offs in words.layouts(col):
         text, _, _, h = words.words(cps, offs)
-        best, sim = index.nearest(*index.vectors(text, h, hi - lo), k)
-        yield lo, hi, best, sim
+        yield lo, hi, *index.nearest(*index.vectors(text, h, hi - lo), k)
 
 
 def scores(docs: DataFrame, index: Index, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
