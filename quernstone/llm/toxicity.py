@@ -8,7 +8,9 @@
   (Without the class ratio the neighbours say little about toxicity; the README has the figures.)
 * Index: examples stand in blocks; each term has postings by block and the greatest weight in each block. For a query,
   blocks are visited in order of their bound, the sum over its terms of weight times block maximum, until the bound of
-  the next is under the k-th similarity found: the k nearest are exact. A batch of queries is worked on at once.
+  the next is under the k-th similarity found: the k nearest are exact. The most frequent terms, which are in most
+  blocks, are rows of a table instead of postings: one matrix product gives their part of all similarities of a batch of
+  queries, and its maximum in a block is their part of the bound.
 * Score: neighbours vote with weight 1 / (1.01 - similarity), so that a copy of an example outvotes the rest; slots
   without a neighbour of positive similarity vote with the base rate. The votes are calibrated by a logistic curve,
   fitted at the labelled base rate to votes on a fifth of the examples by an index of the others. A document is rejected at ``threshold``; its neighbours are the evidence.
@@ -34,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, words
 
 MAX_EXAMPLES, K, THRESHOLD, BLOCK, STEP, AT_ONCE = 4096, 16, 0.7, 64, 16, 16
+#: Terms of more than one in OFTEN examples, the DENSE most frequent at most, are held as rows of a table, not as postings.
+OFTEN, DENSE = 16, 512
 SCHEMA = "doc_id long, toxicity double, rejected boolean, neighbours array<long>, similarities array<double>"
 NEAR_COPY = 0.9
 
@@ -51,25 +55,33 @@ class Index:
     entry_block: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     entry_max: np.ndarray = field(default_factory=lambda: np.zeros(1))  # the last, for no entry, is 0
     entry_at: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))
+    term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # entries of term t: term_at[t] to term_at[t + 1]
     post_example: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint8))  # within its block
     post_weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     slope: float = 8.0
     shift: float = -4.0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_slots"}
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
     @property
     def blocks(self) -> int:
         return -(-len(self.ids) // BLOCK)
 
-    def slots(self) -> np.ndarray:
-        """Entry of each (term, block), the last for none; made once in each worker."""
-        if "_slots" not in self.__dict__:
-            s = np.full((len(self.terms), self.blocks), len(self.entry_max) - 1, np.int32)
-            s[self.entry_term, self.entry_block] = np.arange(len(self.entry_term))
-            self.__dict__["_slots"] = s
-        return self.__dict__["_slots"]
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each term or -1, [rows, examples]): the weights of the most frequent terms; made once in each worker."""
+        if "_dense" not in self.__dict__:
+            df = np.diff(self.entry_at[self.term_at])
+            often = np.flatnonzero(df * OFTEN > len(self.ids))
+            often = often[np.argsort(-df[often], kind="stable")][:DENSE]
+            row, table = np.full(len(self.terms), -1, np.int32), np.zeros((len(often), self.blocks * BLOCK))
+            row[often] = np.arange(len(often))
+            entry = np.repeat(np.arange(len(self.entry_term)), np.diff(self.entry_at[:-1]))
+            r = row[self.entry_term[entry]]
+            entry, use = entry[r >= 0], r >= 0
+            table[r[use], self.entry_block[entry].astype(np.int64) * BLOCK + self.post_example[use]] = self.post_weight[use]
+            self.__dict__["_dense"] = row, table
+        return self.__dict__["_dense"]
 
     def fill(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         """Postings of the examples' vectors."""
@@ -80,6 +92,7 @@ class Index:
         self.entry_term, self.entry_block = term[new].astype(np.int32), (ex[new] // BLOCK).astype(np.int32)
         self.entry_max = np.append(np.maximum.reduceat(weight, new) if len(new) else np.empty(0), 0.0)
         self.entry_at = np.concatenate([new, [len(term), len(term)]]).astype(np.int64)
+        self.term_at = np.searchsorted(self.entry_term, np.arange(len(self.terms) + 1))
         self.post_example, self.post_weight = (ex % BLOCK).astype(np.uint8), weight
 
     def vectors(self, text: np.ndarray, h: np.ndarray, n: int):
@@ -110,14 +123,21 @@ class Index:
         n, blocks = len(bounds) - 1, self.blocks
         best = np.full((n, k), -1, np.int64)
         sim = np.zeros((n, k))
-        has = np.flatnonzero(np.diff(bounds) > 0)
-        if not len(has) or not blocks:
+        if not len(term) or not blocks:
             return best, sim
-        slots = self.slots()
-        bound = np.zeros((n, blocks))
-        bound[has] = np.add.reduceat(self.entry_max[slots[term]] * weight[:, None], bounds[has], axis=0)
+        row, table = self.dense()
+        q, r = np.repeat(np.arange(n), np.diff(bounds)), row[term]
+        given = np.zeros((n, len(table)))
+        given[q[r >= 0], r[r >= 0]] = weight[r >= 0]
+        known = given @ table  # [n, examples], of the frequent terms
+        q, term, weight = q[r < 0], term[r < 0], weight[r < 0]
+        many = self.term_at[term + 1] - self.term_at[term]
+        entry = np.repeat(self.term_at[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        q, w, block = np.repeat(q, many), np.repeat(weight, many), self.entry_block[entry]
+        bound = np.bincount(q * blocks + block, self.entry_max[entry] * w, minlength=n * blocks).reshape(n, blocks) + known.reshape(n, blocks, BLOCK).max(axis=2)
         order = np.argsort(-bound, axis=1, kind="stable")
-        active = has
+        turn = np.argsort(order, axis=1)[q, block]
+        active = np.arange(n)
         for step in range(0, blocks, STEP):
             top = bound[active, order[active, step]]
             active = active[(top > 0) & ((top >= sim[active, -1] - 1e-9) | (not prune))]
@@ -125,16 +145,15 @@ class Index:
                 break
             b = order[active, step : step + STEP]
             wide = b.shape[1]
-            lens = np.diff(bounds)[active]
-            q = np.repeat(np.arange(len(active)), lens)
-            src = np.repeat(bounds[active] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            entry = slots[term[src][:, None], b[q]].ravel()
-            hit = np.flatnonzero(entry < len(self.entry_term))
-            entry, cell, w = entry[hit], (q[:, None] * wide + np.arange(wide)).ravel()[hit], weight[src][hit // wide]
-            many = self.entry_at[entry + 1] - self.entry_at[entry]
-            p = np.repeat(self.entry_at[entry] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            dots = np.bincount(np.repeat(cell, many) * BLOCK + self.post_example[p], self.post_weight[p] * np.repeat(w, many), minlength=len(active) * wide * BLOCK).reshape(len(active), -1)
+            place = np.full(n, -1)
+            place[active] = np.arange(len(active))
+            hit = np.flatnonzero((turn >= step) & (turn < step + wide) & (place[q] >= 0))
+            many = self.entry_at[entry[hit] + 1] - self.entry_at[entry[hit]]
+            p = np.repeat(self.entry_at[entry[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            cell = (place[q[hit]] * wide + turn[hit] - step) * BLOCK
+            dots = np.bincount(np.repeat(cell, many) + self.post_example[p], self.post_weight[p] * np.repeat(w[hit], many), minlength=len(active) * wide * BLOCK).reshape(len(active), -1)
             found = (b[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(active), -1)
+            dots = np.round(dots + known[active[:, None], found], 12)  # equal vectors are equal however they were added up
             both, who = np.concatenate([sim[active], dots], axis=1), np.concatenate([best[active], np.where(dots > 0, found, -1)], axis=1)
             if both.shape[1] > 4 * k:  # the k-th largest and all its equals, then the order of those alone
                 least = -np.partition(-both, k - 1, axis=1)[:, k - 1 : k]
