@@ -20,3 +20,23 @@ def test_structural_parses_spread_texts_once(spark):
     got = [(r.path, r.line_start, r.captures[0].text) for r in found.collect()]
     assert got == sorted(got) == sorted((d.path, 2 + 2 * i, f"f{i}") for d in docs.collect() for i in range(d.doc_id % 7 + 1))
     assert [(r.path, r.line_start, r.captures[0].text) for r in extract.structural(docs, "def $NAME($$$): $$$", "python", 9, 3).collect()] == got[3:12]
+
+
+def test_fallback_query_where_the_name_is_defined(spark, tmp_path):
+    """The query is of text references at every size, and the operator gives definitions where there are some."""
+    import duckdb
+
+    from quernstone.operators import callgraph
+    from quernstone.plans import standin
+    from quernstone.queries import ORACLE_SQL, QUERIES
+
+    rows = [(i, f"Under{'üä'[i % 2]} a word\nhere under it\nnothing", "de", "src1", 1) for i in range(7, 12)] + [(i, "look under here", "en", "src2", 1) for i in range(20, 90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["goto_definition_fallback"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["goto_definition_fallback"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 50
+    d = standin.docs(spark, str(tmp_path))
+    own = callgraph.definition(d, standin.symbols(d), standin.refs(d, ["under"]), "src1/de/doc_7.txt", "under").collect()
+    assert len(own) == 5 and "text" not in {r.kind for r in own}
