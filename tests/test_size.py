@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone import shared
 from quernstone.functions import trigram
-from quernstone.operators import extract, search
+from quernstone.operators import extract, hybrid, search
 from quernstone.plans import standin
 from quernstone.sources import store
 
@@ -67,6 +67,8 @@ PASSES = {
     "symbols": lambda d: standin.symbols(d),
     "extract": lambda d: trigram.extract(d),
     "postings": lambda d: trigram.postings(d),
+    "terms": lambda d: hybrid.terms(d.withColumnRenamed("doc_id", "chunk_id")),
+    "hash_embedding": lambda d: hybrid.hash_embedding(d.withColumnRenamed("doc_id", "chunk_id")),
 }
 
 
@@ -76,7 +78,7 @@ def test_passes_hold_a_few_texts_of_a_large_batch(spark, monkeypatch, name):
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
     texts = ["\n".join("Word " + " ".join(rng.choices(words, k=20)) for _ in range(100)) for _ in range(1200)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], ["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], ["chunk_id" if name in ("terms", "hash_embedding") else "doc_id", "text"])
     assert batch.nbytes > 14 << 20
     d = spark.createDataFrame([], "doc_id long, text string")
     fn = PASSES[name](d).fn
@@ -162,3 +164,23 @@ def test_an_index_makes_its_postings_once(spark, tmp_path, monkeypatch):
     q = search.Query("Licht 1")
     got = search.indexed(index.table("docs"), index.table("postings"), q, index.table("symbols")).collect()
     assert {r.path for r in got} == {f"p{i}" for i in range(200) if str(i).startswith("1")} if len(got) < 50 else len(got) == 50
+
+
+def test_bm25_scan_reads_the_texts_once(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["nicht", "parsing", "parses", "fooBar", "a", "x_y", "Öl"], k=rng.randrange(0, 30))) for _ in range(500)]
+    chunks, n = counted(spark, spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    got = hybrid.bm25_scan(chunks, ["nicht", "pars", "bar"]).collect()
+    assert n.value == 500
+    assert got == hybrid.bm25(hybrid.terms(chunks), ["nicht", "pars", "bar"]).collect() and len(got) == 200
+
+
+def test_terms_are_counted_where_the_chunks_lie(spark):
+    rng = random.Random(5)
+    letters = "abcXYZ019__ \n\x01\x02-.äÄßøØÉéªº²½ⅠⅣⅾⓐⓏΣσςİıKſǅǆ中文あアरा٣́😀sedings"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(0, 60))) for _ in range(3000)] + ["", None, "HTTPServer parseConfig foo_bar_Baz x2Go running classes based s es ed ing king"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    found = hybrid.terms(chunks)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "Aggregate" not in optimized(found)
+    want = {(r.chunk_id, t): (r.s.count(t), len(r.s)) for r in chunks.select("chunk_id", hybrid.stems(F.col("text")).alias("s")).collect() for t in r.s or []}
+    assert {(r.chunk_id, r.term): (r.tf, r.dl) for r in found.collect()} == want
